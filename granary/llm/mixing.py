@@ -25,7 +25,7 @@ from granary.llm.common import WORD, scratch
 
 BLOCK, SHARDS, SEED, MOST_REPEATS = 64, 8, "mix-1", 3
 #: Rows that one task orders by seeded key at a time, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
