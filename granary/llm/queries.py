@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import mixing, secrets
+from granary.llm import bpe, fingerprints, mixing, packed, repetition, secrets
 from granary.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repetition_rules": lambda spark, sf_dir: repetition.quality(documents(spark, sf_dir)),
         "op3_sainte_lague_mix": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
+        "op5_packed_ids": lambda spark, sf_dir: packed.digest(documents(spark, sf_dir)),
+        "op6_fingerprints": lambda spark, sf_dir: fingerprints.digest(documents(spark, sf_dir)),
+        "op7_bpe_backtrack": lambda spark, sf_dir: bpe.digest(documents(spark, sf_dir)),
         "op10_secret_scan": lambda spark, sf_dir: secrets.digest(documents(spark, sf_dir)),
     }
 
