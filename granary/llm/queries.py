@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bpe, fingerprints, mixing, packed, repetition, secrets
-from granary.llm.common import documents
+from granary.llm import bpe, classifier, classlm, fingerprints, linkgraph, mixing, packed, repetition, secrets
+from granary.llm.common import documents, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repetition_rules": lambda spark, sf_dir: repetition.quality(documents(spark, sf_dir)),
         "op3_sainte_lague_mix": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
+        "op4_ftrl_quality": lambda spark, sf_dir: classifier.digest(documents(spark, sf_dir), table(spark, sf_dir, "labels")),
         "op5_packed_ids": lambda spark, sf_dir: packed.digest(documents(spark, sf_dir)),
         "op6_fingerprints": lambda spark, sf_dir: fingerprints.digest(documents(spark, sf_dir)),
         "op7_bpe_backtrack": lambda spark, sf_dir: bpe.digest(documents(spark, sf_dir)),
+        "op8_class_lm": lambda spark, sf_dir: classlm.digest(documents(spark, sf_dir)),
+        "op9_link_graph": lambda spark, sf_dir: linkgraph.judge(table(spark, sf_dir, "pages")),
         "op10_secret_scan": lambda spark, sf_dir: secrets.digest(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sainte_lague_mix": mixing.ORACLE}
+    return {"op3_sainte_lague_mix": mixing.ORACLE, "op9_link_graph": linkgraph.oracle()}
