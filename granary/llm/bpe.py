@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from granary.llm.common import SLICE_BYTES, slices, text_buffers
 
@@ -264,20 +265,26 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns, ids (array<int>): the general interface."""
+    """columns, n_tokens, ids (array<int>), decoded_chars (code points that the ids decode to): the general interface."""
     path = path or default_vocabulary()
-    schema = docs.select(*columns).schema.add("ids", "array<int>")
+    schema = docs.select(*columns).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("decoded_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.num_columns - 1
+            words = vocabulary(path)
+            sizes = np.array([len(name) + 1 for name in words.names])
             for a, b, texts in text_slices(batch.column(at)):
-                ids = encoder(path, True).encode(texts)
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                coded = encoder(path, True).encode(texts)
+                flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+                counts = np.array([len(x) // 4 for x in coded])
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                chars = np.append(0, np.cumsum(sizes[flat]))
+                decoded = chars[offsets[1:]] - chars[offsets[:-1]] - (counts > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k)[a:b] for k in range(at)] + [pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                    names=[*columns, "ids"],
+                    [batch.column(k)[a:b] for k in range(at)]
+                    + [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat)), pa.array(decoded, pa.int64())],
+                    names=[*columns, "n_tokens", "ids", "decoded_chars"],
                 )
 
     return docs.select(*columns, "text").mapInArrow(run, schema)

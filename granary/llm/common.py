@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_shipped: set[int] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors' Python workers, once for each Spark context."""
+    import granary
+
+    context = spark.sparkContext
+    if id(context) in _shipped:
+        return
+    top = Path(granary.__file__).parent
+    made = Path(tempfile.mkdtemp(prefix="granary-")) / "granary-sources.zip"
+    with zipfile.ZipFile(made, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, f"granary/{file.relative_to(top)}")
+    context.addPyFile(str(made))
+    _shipped.add(id(context))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session; only where that is
     unset (a local session, as in tests) a temporary folder of this machine becomes that setting."""

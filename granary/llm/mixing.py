@@ -28,14 +28,17 @@ BLOCK, SHARDS, SEED, MOST_REPEATS = 64, 8, "mix-1", 3
 BUCKET_ROWS = 2_000
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size (words), key (seeded order)."""
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-    )
+    return docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("key"))
 
 
 def _source_key(column: str = "source") -> Column:
@@ -111,18 +114,16 @@ def allot(shares: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFr
     return seated.select("source", "rank", "shard", (F.col("held") - first).alias("quota"), first.alias("first_block"))
 
 
-def mix(
-    docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED, most_repeats: int = MOST_REPEATS
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted)."""
-    known = scratch(sizes(docs, seed), "sizes").withColumn("of", _source_key())
-    rows = known.count()
+def _bucket(rows: int) -> Column:
+    """Hash bucket of the seeded key; their number follows the number of rows."""
     buckets = 1
     while buckets * BUCKET_ROWS < rows and buckets < 1 << 16:
         buckets *= 2
-    known = known.withColumn(
-        "bucket", F.expr(f"shiftright(cast(conv(substring(key, 1, 4), 16, 10) as int) * {buckets}L, 16)").cast("int")
-    )
+    return F.expr(f"shiftright(cast(conv(substring(key, 1, 4), 16, 10) as int) * {buckets}L, 16)").cast("int")
+
+
+def _placed(known: DataFrame, block: int, shards: int, most_repeats: int) -> DataFrame:
+    """of, bucket, base (words of the source before the bucket), source_size, target, words (of the source in the mix)."""
     per_bucket = known.groupBy("of", "bucket").agg(F.sum("size").alias("bucket_size"), F.max("source").alias("source"))
     totals = per_bucket.groupBy("of").agg(F.sum("bucket_size").alias("source_size"), F.max("source").alias("source"))
     shares = targets(totals.drop("of"), most_repeats)
@@ -138,21 +139,44 @@ def mix(
         .withColumn("of", _source_key())
         .drop("source")
     )
-    placed = (
-        per_bucket.withColumn(
-            "base",
-            F.sum("bucket_size").over(Window.partitionBy("of").orderBy("bucket")) - F.col("bucket_size"),
-        )
-        .join(plan, "of")
-        .select("of", "bucket", "base", "source_size", "target", "words")
+    base = F.sum("bucket_size").over(Window.partitionBy("of").orderBy("bucket")) - F.col("bucket_size")
+    return (
+        per_bucket.withColumn("base", base).join(plan, "of").select("of", "bucket", "base", "source_size", "target", "words")
     )
+
+
+def _taken(known: DataFrame, placed: DataFrame) -> DataFrame:
+    """Adds source_size, target, taken to rows with of, bucket, key, size."""
     within = Window.partitionBy("of", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = known.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(placed, ["of", "bucket"])
     passes = F.expr("CASE WHEN source_size > 0 THEN words div source_size ELSE 0 END")
     rest = F.expr("CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END")
-    start = F.col("base") + F.col("before")
-    part = F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
-    return laid.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    part = F.least(F.greatest(rest - F.col("base") - F.col("before"), F.lit(0)), F.col("size"))
+    return laid.withColumn("taken", (passes * F.col("size") + part).cast("long"))
+
+
+def mix(
+    docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED, most_repeats: int = MOST_REPEATS
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted)."""
+    known = scratch(sizes(docs, seed), "sizes").withColumn("of", _source_key())
+    known = known.withColumn("bucket", _bucket(known.count()))
+    return _taken(known, _placed(known, block, shards, most_repeats)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixture(
+    docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED, most_repeats: int = MOST_REPEATS
+) -> DataFrame:
+    """The rows of the mix, all columns: each document as often as the mix takes it, to the nearest whole number."""
+    known = scratch(sizes(docs, seed), "sizes").withColumn("of", _source_key())
+    bucket = _bucket(known.count())
+    placed = scratch(_placed(known.withColumn("bucket", bucket), block, shards, most_repeats), "placed")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), _source_key().alias("of"), _size().alias("size"), _key(seed).alias("key")
+    ).withColumn("bucket", bucket)
+    times = F.expr("CASE WHEN size > 0 THEN cast(round(taken / size) as int) ELSE 0 END")
+    taken = _taken(rows, placed).withColumn("times", times).filter("times > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
 
 
 #: DuckDB SQL for `mix` over `documents` with the default parameters.

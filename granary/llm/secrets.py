@@ -151,18 +151,10 @@ def thresholds(tested: DataFrame) -> dict[int, int]:
     return {r["stratum"]: r["bin"] for r in rows}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """The columns of `docs` but for text, and spans: array of kind, start, end by start, then kind as in KINDS.
-
-    Give only the columns that should stay. A scratch table keeps what the regexes found; texts are read once.
-    """
-    keep = [c for c in docs.columns if c != "text"]
-    found = find(docs).select(*keep, "assign", "access", "hex", F.expr(_tested()).alias("tested"))
-    short = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    found = scratch(found.select(*keep, *(short(k).alias(k) for k in KINDS[:3]), "tested"), "secrets")
-    cut = thresholds(found)
+def spans(cut: dict[int, int]) -> Column:
+    """kind, start, end by start, then kind as in KINDS, from the columns that `find` and `_tested` made."""
     limit = F.create_map(*[F.lit(x) for pair in (cut or {-1: BINS + 1}).items() for x in pair])
-    fixed = F.concat("assign", "access", "hex")
+    fixed = F.concat(*(_places(k) for k in KINDS[:3]))
     free = F.filter(
         "tested",
         lambda t: (t["bin"] < F.coalesce(F.element_at(limit, t["stratum"]), F.lit(BINS + 1)))
@@ -174,11 +166,42 @@ def scan(docs: DataFrame) -> DataFrame:
 
     named = [ranked(c, rank) for rank, c in enumerate((*KINDS[:3], free))]
     kinds = F.array(*map(F.lit, KINDS))
-    spans = F.transform(
+    return F.transform(
         F.array_sort(F.concat(*named)),
         lambda x: F.struct(kinds[x["rank"]].alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
     )
-    return found.select(*keep, spans.alias("spans"))
+
+
+def _places(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """The columns of `docs` but for text, and spans: array of kind, start, end by start, then kind as in KINDS.
+
+    A scratch table keeps what the regexes found, so texts are read once.
+    """
+    keep = [c for c in docs.columns if c != "text"]
+    found = find(docs).select(*keep, *(_places(k).alias(k) for k in KINDS[:3]), F.expr(_tested()).alias("tested"))
+    found = scratch(found, "secrets")
+    return found.select(*keep, spans(thresholds(found)).alias("spans"))
+
+
+def masked(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
+    """`docs` with its secrets replaced in text (and n_chars, if there, counted anew where that happened).
+
+    Two passes over the texts, the first for the thresholds; nothing is stored.
+    """
+    cut = thresholds(find(docs.select("text")).select(F.expr(_tested()).alias("tested")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = find(whole).withColumn("tested", F.expr(_tested())).select("row", spans(cut).alias("spans"))
+    made = found.select("row", "spans", mask(F.col("row.text"), F.col("spans"), by).alias("text"))
+    columns = [F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns]
+    if "n_chars" in docs.columns:
+        at = docs.columns.index("n_chars")
+        kind = docs.schema["n_chars"].dataType
+        columns[at] = F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return made.select(*columns)
 
 
 def written(spans: Column) -> Column:
