@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from enum import IntFlag
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -169,7 +170,8 @@ class Database:
             if dialect.count_parameters(sql) != len(args):
                 raise StatementError(f"{dialect.count_parameters(sql)} parameters, {len(args)} arguments", Code.RANGE)
             self._show(sql)
-            frame = self.spark.sql(dialect.rewrite(sql), args=list(args) or None)
+            text, named = dialect.bound(dialect.rewrite(sql), list(args))
+            frame = self.spark.sql(text, args=named)
             if any(t == "boolean" for _, t in frame.dtypes):
                 plain = [f"c{k}" for k in range(len(frame.columns))]
                 kinds = [t for _, t in frame.dtypes]
@@ -358,14 +360,21 @@ class Database:
             for name, _ in statement.changes if update else ():
                 table.column(name)
             return self._count(0)
+        if not update and statement.where is None:
+            n = self._frame(table).count()
+            self._put(table.with_(segments=()))
+            return self._count(n)
         make = change.updated if update else change.marked
         marked = make(self.spark, table, f"`{table.name.lower()}`", statement, args)
         seen = Observation()
-        marked = marked.observe(seen, F.count_if(change.HIT).alias("n"))
-        rows = (marked if update else marked.filter(f"NOT {change.HIT}")).drop(change.HIT)
+        watched = marked.observe(seen, F.count_if(change.HIT).alias("n"))
+        rows = (watched if update else watched.filter(f"NOT {change.HIT}")).drop(change.HIT)
         target = self._target(table)
         made = target.with_(segments=(self._write(rows, target),))
-        n = seen.get["n"]
+        try:
+            n = seen.get["n"]
+        except Py4JError:  # a condition that folds to a constant leaves nothing to observe
+            n = marked.filter(change.HIT).count()
         if not n:
             return self._count(0)
         if update:
@@ -557,7 +566,7 @@ class Statement:
     bind_json = bind_text
 
     def bind_vector(self, place: int, value: Sequence[float]) -> Statement:
-        return self._bind(place, F.array(*(F.lit(float(x)).cast("float") for x in value)))
+        return self._bind(place, F.array(*(F.lit(float(x)) for x in value)))
 
     def bind_all(self, *values: Any) -> Statement:
         for k, v in enumerate(values, 1):

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.errors import Code, DatabaseError, StatementError
-from granary.plans.dialect import count_parameters
+from granary.plans.dialect import bound, count_parameters
 from granary.plans.statements import Delete, Insert, Update
 from granary.sources.store import TableVersion
 
 HIT = "granary_hit"
 
 
+def _sql(session, text: str, args: Sequence) -> DataFrame:
+    text, named = bound(text, list(args))
+    return session.sql(text, args=named)
+
+
 def new_rows(session, table: TableVersion, statement: Insert, args: Sequence) -> DataFrame:
     """The rows of an INSERT in the table's columns and types; columns that are left out get their default."""
     given = statement.columns or [c.name for c in table.columns]
@@ -25,7 +30,7 @@ def new_rows(session, table: TableVersion, statement: Insert, args: Sequence) ->
         table.column(name)
     names = [f"v{k}" for k in range(len(given))]
     if statement.query is not None:
-        frame = session.sql(statement.query, args=list(args) or None)
+        frame = _sql(session, statement.query, args)
         if len(frame.columns) != len(given):
             raise StatementError(f"{len(given)} columns, {len(frame.columns)} values", Code.ERROR)
         frame = frame.toDF(*names)
@@ -40,7 +45,7 @@ def new_rows(session, table: TableVersion, statement: Insert, args: Sequence) ->
         rows = (
             "SELECT " + ", ".join(f"CAST({v} AS {t}) AS {n}" for v, t, n in zip(row, kinds, names, strict=True)) for row in statement.rows
         )
-        frame = session.sql(" UNION ALL ".join(rows), args=list(args) or None)
+        frame = _sql(session, " UNION ALL ".join(rows), args)
     at = {name.lower(): n for name, n in zip(given, names, strict=False)}
     out = []
     for c in table.columns:
@@ -71,13 +76,13 @@ def updated(session, table: TableVersion, view: str, statement: Update, args: Se
         start += counts[column]
     ordered = [x for c in table.columns for x in slots.get(c.name, [])] + list(args[start:])
     alias = f"`{table.name}`"
-    return session.sql(f"SELECT {columns}, {HIT} FROM (SELECT *, {where} AS {HIT} FROM {view} AS {alias}) AS {alias}", args=ordered or None)
+    return _sql(session, f"SELECT {columns}, {HIT} FROM (SELECT *, {where} AS {HIT} FROM {view} AS {alias}) AS {alias}", ordered)
 
 
 def marked(session, table: TableVersion, view: str, statement: Delete, args: Sequence) -> DataFrame:
     """All rows with HIT where a DELETE takes them."""
     where = f"coalesce(({statement.where}), false)" if statement.where else "true"
-    return session.sql(f"SELECT *, {where} AS {HIT} FROM {view} AS `{table.name}`", args=list(args) or None)
+    return _sql(session, f"SELECT *, {where} AS {HIT} FROM {view} AS `{table.name}`", args)
 
 
 def check_not_null(table: TableVersion, rows: DataFrame) -> None:

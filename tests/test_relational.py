@@ -1,0 +1,83 @@
+"""Operators on small tables with nulls."""
+
+import pytest
+
+from granary.errors import Code, GranaryError
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    from granary.api import Database
+
+    with Database(spark) as db:
+        db.exec(
+            """CREATE TABLE n (id INTEGER, i INTEGER, f REAL, s TEXT);
+               INSERT INTO n VALUES (1, 10, 1.5, 'a'), (2, NULL, NULL, NULL), (3, 0, 0.0, ''), (4, -7, 2.5, 'A');
+               CREATE TABLE l (k INTEGER, v TEXT); INSERT INTO l VALUES (1, 'a'), (2, 'b'), (2, 'c'), (NULL, 'd');
+               CREATE TABLE r (k INTEGER, w TEXT); INSERT INTO r VALUES (2, 'x'), (3, 'y'), (NULL, 'z')"""
+        )
+        yield db
+
+
+def rows(db, sql, *args):
+    return [tuple(r) for r in db.query(sql, *args).collect()]
+
+
+@pytest.mark.parametrize(
+    ("sql", "wanted"),
+    [
+        ("SELECT id FROM n WHERE i > 0", [(1,)]),
+        ("SELECT id FROM n WHERE NOT i > 0 ORDER BY id", [(3,), (4,)]),
+        ("SELECT id FROM n WHERE i > 0 OR id = 2 ORDER BY id", [(1,), (2,)]),
+        ("SELECT id FROM n WHERE i IS NULL", [(2,)]),
+        ("SELECT id FROM n WHERE s IS NOT NULL ORDER BY id", [(1,), (3,), (4,)]),
+        ("SELECT i / 0, 10 / i FROM n WHERE id = 1", [(None, 1.0)]),
+        ("SELECT i % 0, 10 % i, 7 / 2 FROM n WHERE id = 4", [(None, 3, 3.5)]),
+        ("SELECT COUNT(*), COUNT(i), SUM(i), AVG(i), MIN(i), MAX(s) FROM n", [(4, 3, 3, 1.0, -7, "a")]),
+        ("SELECT COUNT(*), COUNT(i), SUM(i), AVG(f), MIN(s), MAX(i) FROM n WHERE id > 99", [(0, 0, None, None, None, None)]),
+        ("SELECT id FROM n ORDER BY i", [(2,), (4,), (3,), (1,)]),
+        ("SELECT id FROM n ORDER BY i DESC", [(1,), (3,), (4,), (2,)]),
+        ("SELECT s FROM n WHERE s LIKE 'a%'", [("a",)]),
+        ("SELECT id, i > 0, i IS NULL FROM n ORDER BY id LIMIT 2", [(1, 1, 0), (2, None, 1)]),
+        ("SELECT id FROM n ORDER BY id LIMIT 0", []),
+        ("SELECT id FROM n ORDER BY id LIMIT 2 OFFSET 3", [(4,)]),
+        ("SELECT s, COUNT(*) c FROM n GROUP BY s HAVING COUNT(*) > 1", []),
+        ("SELECT -i, - -i FROM n WHERE id = 4", [(7, -7)]),
+        ("SELECT 1 + 1 AS two", [(2,)]),
+        ("SELECT l.v, r.w FROM l JOIN r ON l.k = r.k ORDER BY v", [("b", "x"), ("c", "x")]),
+        ("SELECT v, w FROM l LEFT JOIN r ON l.k = r.k ORDER BY v", [("a", None), ("b", "x"), ("c", "x"), ("d", None)]),
+        ("SELECT v, w FROM l RIGHT JOIN r ON l.k = r.k ORDER BY w, v", [("b", "x"), ("c", "x"), (None, "y"), (None, "z")]),
+        ("SELECT COUNT(*) FROM l CROSS JOIN r", [(12,)]),
+        ("SELECT COUNT(*) FROM l, r WHERE l.k < r.k", [(4,)]),
+        ("SELECT a.v, b.v FROM l a JOIN l b ON a.k = b.k AND a.v < b.v", [("b", "c")]),
+    ],
+)
+def test_query(data, sql, wanted):
+    assert rows(data, sql) == wanted
+
+
+def test_parameters(data):
+    assert rows(data, "SELECT id FROM n WHERE i = ? OR s = ? ORDER BY id", 10, "A") == [(1,), (4,)]
+    with pytest.raises(GranaryError) as caught:
+        data.query("SELECT ?", 1, 2)
+    assert caught.value.code == Code.RANGE
+
+
+def test_errors_have_codes(data):
+    for sql, code in (("SELECT * FROM nowhere", Code.NOTFOUND), ("SELECT FROM WHERE", Code.ERROR)):
+        with pytest.raises(GranaryError) as caught:
+            data.query(sql)
+        assert caught.value.code == code and data.errcode() == code and data.errmsg()
+    with pytest.raises(GranaryError) as caught:
+        data.execute("INSERT INTO l VALUES ('not a number', 'v')")
+    assert caught.value.code == Code.MISMATCH
+
+
+def test_plans_push_down_and_prune(spark):
+    from granary.api import Database
+
+    with Database(spark) as db:
+        db.attach("lineitem", "/root/testdata/sf0.001/lineitem.parquet")
+        plan = db.query("SELECT l_orderkey FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), IsNotNull(l_returnflag), GreaterThan(l_quantity" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in plan
