@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from granary.llm.common import SLICE_BYTES, slices, text_buffers
 
-#: Words and pieces that a Python worker keeps; the cache starts anew when it is full.
-CACHE = 200_000
+#: Words and pieces that each generation of a Python worker's cache keeps.
+CACHE = 300_000
 #: Texts of these characters alone are lowered and split here; all are composed (NFC) and lower to one character.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ]*")
 #: Fixed value: the pattern of the vocabulary's pre-tokenizer.
@@ -183,8 +184,33 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class _Cache(dict):
+    """Two generations of entries: a full cache becomes the old one, from which what is still used comes back.
+
+    A key that neither holds gives b"" and is noted in `todo`.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.todo: dict[str, None] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            self.todo[key] = None
+            return b""
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, by cached words. `encode` gives the ids of a list of pieces."""
+    """Ids of texts as little-endian 32-bit bytes, by cached words; pieces are encoded by backtracking or by the library."""
 
     def __init__(self, path: str, backtrack: bool = True):
         import os
@@ -197,30 +223,28 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = vocabulary(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Cache(), _Cache()
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
+    def _encode_piece(self, piece: str) -> bytes:
         if self.backtrack:
-            for piece in pieces:
-                self.pieces[piece] = np.array(self.vocabulary.encode_piece(piece), "<u4").tobytes()
-            return
-        done = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, encoding in zip(pieces, done, strict=True):
-            self.pieces[piece] = np.array(encoding.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
+            ids = self.vocabulary.encode_piece(piece)
+        else:
+            shown = piece if piece.isascii() else "".join([self.vocabulary.letters[x] for x in piece.encode()])
+            ids = [t.id for t in self.library.model.tokenize(shown)]
+        return array("I", ids).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
         """Put the words into the cache."""
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        split = {w: _PIECES.findall(w) for w in words}
-        new = {p for pieces in split.values() for p in pieces if p not in self.pieces}
-        self._encode_pieces(list(new))
-        known = self.pieces
-        for w, pieces in split.items():
-            self.words[w] = b"".join([known[p] for p in pieces])
+        pieces, known = self.pieces, self.words
+        for w in words:
+            parts = _PIECES.findall(w)
+            coded = b"".join([pieces[p] for p in parts])
+            if pieces.todo:
+                for p in pieces.todo:
+                    pieces[p] = self._encode_piece(p)
+                pieces.todo.clear()
+                coded = b"".join([pieces[p] for p in parts])
+            known[w] = coded
 
     def _odd(self, text: str) -> bytes:
         """A text beyond the plain characters, or one with special tokens."""
@@ -240,15 +264,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special = list(self.vocabulary.special)
-        plain = [bool(_PLAIN.fullmatch(t)) and not any(x in t for x in special) for t in texts]
-        split = [t.lower().split() if ok else None for t, ok in zip(texts, plain, strict=True)]
         known = self.words
-        missing = {w for words in split if words for w in words if w not in known}
-        if missing:
-            if len(missing) + len(known) > CACHE:
-                missing = {w for words in split if words for w in words}
-            self._learn(missing)
-        return [self._odd(t) if w is None else b"".join([known[x] for x in w]) for t, w in zip(texts, split, strict=True)]
+        get = known.__getitem__
+        out = []
+        for text in texts:
+            if not _PLAIN.fullmatch(text) or any(x in text for x in special):
+                out.append(self._odd(text))
+                continue
+            words = text.lower().split()
+            coded = b"".join(map(get, words))
+            if known.todo:
+                self._learn(list(known.todo))
+                known.todo.clear()
+                coded = b"".join(map(get, words))
+            out.append(coded)
+            known.turn()
+            self.pieces.turn()
+        return out
 
 
 @lru_cache(maxsize=4)

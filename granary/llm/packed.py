@@ -165,7 +165,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    placed = table.join(bases, "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "data")
+    # one row for each shard, so no more rows than partitions were written
+    placed = table.join(F.broadcast(bases), "shard").select((F.col("base") + F.col("shard_start")).alias("start"), "data")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
