@@ -18,8 +18,9 @@ in a register with a probability equal to their probability Jaccard.
 A pair at 0.8 shares a bucket with a probability of 0.9994, one at 0.85 with 0.999997.
 
 Defined cases: texts without a word (null, empty) have no shingle, and each such row is a class of its own; copies,
-repeated rows and rows of one id share a class; null ids take part, their class is the least id in it (null if
-all are null); an empty table gives an empty result; extra columns are ignored. Whole texts are taken.
+repeated rows and rows of one id share a class; rows without an id belong to the class of the rows with equal words
+(class null if none of those has an id) and are compared no further; an empty table gives an empty result; extra
+columns are ignored. Whole texts are taken.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from granary.llm.components import components
 WIDTH, LEAST, BANDS, ROWS, DOUBT = 5, 0.8, 40, 8, 0.70
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others, and bytes of a shingle's hash that verification keeps.
-BLOCK, HASH_BYTES = 512, 6
+BLOCK, HASH_BYTES = 256, 6
+#: Bits of the filter that picks the texts to verify (4 MB).
+FILTER_BITS = 1 << 25
 
 
 # ---------------------------------------------------------------- sketches
@@ -171,16 +174,50 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def multisets(texts: DataFrame) -> DataFrame:
-    """node, text -> node, shingles (packed)."""
+def _places(nodes: np.ndarray) -> list[np.ndarray]:
+    """Bits of a node in the filter."""
+    return [(mix64(nodes.astype(np.int64).view(np.uint64), seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for seed in (31, 32)]
+
+
+def node_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits, whatever the number of nodes: bits are joined on the executors, so
+    the driver gets its words alone. Where it fills up it lets more through, never less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        word = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits[word].view(np.int64))], names=["word", "bits"])
+
+    rows = wanted.select("node").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def multisets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text -> node, shingles (packed) of the wanted nodes, and of a few others that the filter lets through.
+
+    Texts are not shuffled: each task keeps those of its own that the filter knows.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(node_filter(wanted))  # FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            known = np.ones(len(nodes), bool)
+            for at in _places(nodes):
+                known &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(known))
             for a, b, words in _text_slices(batch.column(1)):
                 doc, hashes, counts = weighted(*shingles(words, words.hashes(), WIDTH))
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 made = [_pack_shingles(hashes[i:j], counts[i:j]) if j > i else None for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(made, pa.binary())], names=["node", "shingles"])
+                made = pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(made, pa.binary())], names=["node", "shingles"])
+                yield made.filter(made.column(1).is_valid())
 
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
@@ -294,7 +331,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
 
     def shingled(wanted: DataFrame, name: str) -> DataFrame:
-        return scratch(multisets(texts.join(wanted, "node", "left_semi")).dropDuplicates(["node"]), name)
+        return scratch(multisets(texts, wanted), name)
 
     wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
     links = _verified(likely, shingled(wanted, "shingles"))
