@@ -50,8 +50,10 @@ def sketch(words: Words, bins: int = BINS, width: int = WIDTH) -> np.ndarray:
 
 
 def low_bits(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Low bits of the finalised minima, one uint8 per bin."""
-    return (mix64(minima, 9) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    """Low bits of the finalised minima, one uint8 per bin; the bin enters, so that bins filled from one another
+    are no copies of the same bits."""
+    place = mix64(np.arange(minima.shape[1], dtype=np.uint64), 8)
+    return (mix64(minima ^ place, 9) & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
 
 def packed(low: np.ndarray, empty: np.ndarray, bits: int = BITS) -> list[str]:
