@@ -174,7 +174,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             table[own] -= out_row
             table[:, own] -= in_row
             table[own, own] -= self_n
-            left, right = table.sum(1), table.sum(0)
+            # pairs between w and a class count in that class's sums wherever w goes
+            left, right = table.sum(1) + in_row, table.sum(0) + out_row
             row_new, col_new = table + out_row, table + in_row[:, None]
             cross = table.diagonal()
             gain = (_xlogx(row_new) - _xlogx(table)).sum(1) + (_xlogx(col_new) - _xlogx(table)).sum(0)
