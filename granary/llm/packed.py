@@ -30,6 +30,8 @@ from granary.llm import bpe
 from granary.llm.common import parts, scratch_path
 
 MAGIC, BLOCK_IDS = b"GRP1", 4096
+#: Stands for a null id in the files.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sBxxxIQQQ")  # magic, width, ids in a block, ids, documents, blocks
 
 
@@ -120,7 +122,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                 coded = tool.encode(texts)
                 ids = np.frombuffer(b"".join([x for c in coded for x in (c, end)]), "<u4")
                 ends = np.cumsum([len(c) // 4 + 1 for c in coded])
-                names = np.array([-1 if x is None else x for x in batch.column(0)[a:b].to_pylist()], np.int64)
+                names = np.array([NO_ID if x is None else x for x in batch.column(0)[a:b].to_pylist()], np.int64)
                 data = container(ids, names, ends, width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], t) for v, t in ((shard, pa.int32()), (place, pa.int64()), (start, pa.int64()), (len(ids), pa.int64()), (b - a, pa.int32()), (data, pa.binary()))],
@@ -157,7 +159,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids < 0),
+                        pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == NO_ID),
                         pa.array(begins + start, pa.int64()),
                         pa.array(ends - begins, pa.int64()),
                         pa.array(crc, pa.int64()),
