@@ -1,0 +1,99 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from granary.llm import fingerprints
+from granary.llm.common import documents
+
+
+def shingled(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    a, b = shingled(a), shingled(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute(rows):
+    """doc_id -> (n_chars, edited text, next text) in descending order of id, nulls last."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    out = []
+    for k, (doc_id, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        out.append((doc_id, text, text[: len(text) - half] + after[:half], after))
+    return out
+
+
+def check(rows, got, tolerance=0.12):
+    wanted = brute(rows)
+    got = sorted(got, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
+    assert [r["doc_id"] for r in got] == [w[0] for w in wanted]
+    left = sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got)
+    assert left == sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for d, t, e, _ in wanted)
+    errors = []
+    if len({w[0] for w in wanted}) == len(wanted):
+        for r, (_, text, edited, after) in zip(got, wanted, strict=True):
+            errors.append((r["near_edited"] - jaccard(text, edited), r["near_next"] - jaccard(text, after)))
+        assert np.abs(errors).max() < tolerance
+        assert len(errors) < 100 or abs(np.mean(errors)) < 0.02  # one pair alone is noise
+    return got
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, 400])
+def test_neighbours(spark, frame, n):
+    r = random.Random(n)
+    words = ["wörd", "a", "bb", "ccc", "😀", "d."]
+    rows = [(r.randrange(10**9), " ".join(r.choices(words, k=r.randint(0, 60)))) for _ in range(n)]
+    got = check(rows, fingerprints.digest(frame(rows)).collect(), 0.2)
+    by_text = {}
+    for row in got:
+        text = dict(rows)[row["doc_id"]]
+        assert by_text.setdefault(text, row["fingerprint"]) == row["fingerprint"]
+        assert 0 <= row["near_edited"] <= 1 and 0 <= row["near_next"] <= 1
+
+
+def test_odd_rows(spark, frame, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (4, None), (None, "none at all"), (3, ""), (2, "a"), (-7, "x y " * 3000), (1, "é" * 9)]
+    check(rows, fingerprints.digest(frame(rows)).collect())
+    assert fingerprints.digest(frame([])).collect() == []
+    assert len(fingerprints.digest(frame([(None, "x"), (None, "y")])).collect()) == 2
+
+
+def test_likeness_is_unbiased(spark):
+    r = np.random.default_rng(3)
+    a = [f"t{x}" for x in r.integers(0, 10**9, 1200)]
+    b = a[:600] + [f"u{x}" for x in r.integers(0, 10**9, 600)]
+    texts = [" ".join(a), " ".join(b), " ".join(a[:30]), " ".join(a[:20] + b[900:910])]
+    words = fingerprints._view([t.encode() for t in texts])
+    low = fingerprints.low_bits(fingerprints.sketch(words))
+    none = np.zeros(1, bool)
+    for i, j in ((0, 1), (2, 3), (0, 3), (1, 1)):
+        got = fingerprints.likeness(low[i : i + 1], low[j : j + 1], none, none)[0]
+        assert got == pytest.approx(jaccard(texts[i], texts[j]), abs=0.09)
+
+
+def test_densification_fills_every_bin():
+    words = fingerprints._view([b"one two", b"", b"a b c d e f g"])
+    made = fingerprints.sketch(words)
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    assert (made[0] != empty).all() and (made[1] == empty).all() and (made[2] != empty).all()
+    assert fingerprints.packed(fingerprints.low_bits(made), words.counts == 0)[1] == "e"
+
+
+def test_general_interface(spark, frame, by_id):
+    rows = [(1, "same text here"), (2, "same text here"), (3, "other"), (4, None)]
+    got = by_id(fingerprints.fingerprint(frame(rows)))
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] != got[3]["fingerprint"]
+    assert len(got[1]["fingerprint"]) == fingerprints.BINS * fingerprints.BITS // 4 and got[4]["fingerprint"] == "e"
+
+
+def test_documents(spark):
+    docs = documents(spark, "/root/testdata/sf0.001")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    check(rows, fingerprints.digest(docs).collect())
