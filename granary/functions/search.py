@@ -46,26 +46,35 @@ def vector_search(frame: DataFrame, column: str, query: Sequence[float], top_k:
 
 
 def terms(text: Column | str) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits: what text search takes for terms."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def _query_terms(query: str) -> list[str]:
+    import regex
+
+    return sorted(set(regex.findall(r"[\p{L}\p{N}]+", query.lower())))
+
+
+def _whole(term: str) -> str:
+    """Pattern of the term as a whole run of letters and digits (a term has no other characters)."""
+    return rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"
+
+
+def _holds(low: Column, term: str) -> Column:
+    """Whether lower-case text holds the term: a plain search first, the pattern only where it succeeds."""
+    return low.contains(term) & low.rlike(_whole(term))
 
 
 def fts_match(frame: DataFrame, column: str, query: str) -> DataFrame:
     """Rows that hold every term of the query."""
-    wanted = sorted(set(_query_terms(query)))
+    wanted = _query_terms(query)
     if not wanted:
         return frame.limit(0)
-    held = terms(column)
-    condition = F.lit(True)
+    low = F.lower(column)
     for term in wanted:
-        condition = condition & F.array_contains(held, term)
-    return frame.filter(F.coalesce(condition, F.lit(False)))
-
-
-def _query_terms(query: str) -> list[str]:
-    import regex
-
-    return regex.findall(r"[\p{L}\p{N}]+", query.lower())
+        frame = frame.filter(_holds(low, term))
+    return frame
 
 
 def fts_search(frame: DataFrame, column: str, query: str, key: str) -> DataFrame:
@@ -73,25 +82,13 @@ def fts_search(frame: DataFrame, column: str, query: str, key: str) -> DataFrame
 
     tf, df and N count over the whole frame: one aggregate row of as many numbers as the query has terms.
     """
-    wanted = sorted(set(_query_terms(query)))
+    wanted = _query_terms(query)
     if not wanted:
         return frame.withColumn("score", F.lit(0.0)).limit(0)
-    held = F.col("terms_")
-    frame = frame.withColumn("terms_", terms(column))
-    row = frame.agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count_if(F.array_contains(held, t)).alias(f"df{k}") for k, t in enumerate(wanted)),
-    ).first()
+    low = F.lower(column)
+    row = frame.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(_holds(low, t)).alias(f"df{k}") for k, t in enumerate(wanted))).first()
     score = F.lit(0.0)
     for k, term in enumerate(wanted):
-        tf = F.size(F.filter(held, _equals(term)))
-        score = score + tf * F.log(F.lit(float(row["n"])) / F.lit(float(max(1, row[f"df{k}"]))))
-    condition = F.lit(True)
-    for term in wanted:
-        condition = condition & F.array_contains(held, term)
-    found = frame.filter(F.coalesce(condition, F.lit(False))).withColumn("score", score).drop("terms_")
-    return found.orderBy(F.col("score").desc(), F.col(key))
-
-
-def _equals(term: str):
-    return lambda t: t == term
+        weight = F.log(F.lit(float(row["n"])) / F.lit(float(max(1, row[f"df{k}"]))))
+        score = score + F.regexp_count(low, F.lit(_whole(term))) * weight
+    return fts_match(frame, column, query).withColumn("score", score).orderBy(F.col("score").desc(), F.col(key))
