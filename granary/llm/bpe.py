@@ -32,7 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from granary.llm.common import SLICE_BYTES, slices, text_buffers
 
-#: Words and pieces that each generation of a Python worker's cache keeps.
+#: Words, and pieces of words, that each generation of a Python worker's cache keeps: about 200 bytes each. A
+#: worker that serves other operators too does with fewer (`cache` of `encode`).
 CACHE = 300_000
 #: Texts of these characters alone are lowered and split here; all are composed (NFC) and lower to one character.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ]*")
@@ -190,8 +191,9 @@ class _Cache(dict):
     A key that neither holds gives b"" and is noted in `todo`.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
+        self.most = most
         self.old: dict[str, bytes] = {}
         self.todo: dict[str, None] = {}
 
@@ -204,7 +206,7 @@ class _Cache(dict):
         return value
 
     def turn(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -212,7 +214,7 @@ class _Cache(dict):
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, by cached words; pieces are encoded by backtracking or by the library."""
 
-    def __init__(self, path: str, backtrack: bool = True):
+    def __init__(self, path: str, backtrack: bool = True, cache: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -223,7 +225,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = vocabulary(path)
-        self.words, self.pieces = _Cache(), _Cache()
+        self.words, self.pieces = _Cache(cache or CACHE), _Cache(cache or CACHE)
 
     def _encode_piece(self, piece: str) -> bytes:
         if self.backtrack:
@@ -284,9 +286,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, backtrack: bool) -> Encoder:
+def encoder(path: str, backtrack: bool, cache: int | None = None) -> Encoder:
     """One for each Python worker, with its cache."""
-    return Encoder(path, backtrack)
+    return Encoder(path, backtrack, cache)
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
@@ -296,7 +298,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
-def encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id",), cache: int | None = None) -> DataFrame:
     """columns, n_tokens, ids (array<int>), decoded_chars (code points that the ids decode to): the general interface."""
     path = path or default_vocabulary()
     schema = docs.select(*columns).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("decoded_chars", "long")
@@ -307,7 +309,7 @@ def encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] =
             words = vocabulary(path)
             sizes = np.array([len(name) + 1 for name in words.names])
             for a, b, texts in text_slices(batch.column(at)):
-                coded = encoder(path, True).encode(texts)
+                coded = encoder(path, True, cache).encode(texts)
                 flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
                 counts = np.array([len(x) // 4 for x in coded])
                 offsets = np.concatenate([[0], np.cumsum(counts)])

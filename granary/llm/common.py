@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,27 +29,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows over all cores where the input comes in fewer splits than that; large inputs never do and stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
+
+
+_shipped: set[str] = set()
 
 
-_shipped: set[int] = set()
+#: Rows of an Arrow batch: some megabytes of text, so that neither side of the pipe holds more at a time.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors' Python workers, once for each Spark context."""
+    """Send this package's sources to the executors' Python workers, once for each Spark context, and keep batches small."""
     import granary
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
-    if id(context) in _shipped:
+    if context.applicationId in _shipped:
         return
     top = Path(granary.__file__).parent
-    made = Path(tempfile.mkdtemp(prefix="granary-")) / "granary-sources.zip"
+    own = tempfile.mkdtemp(prefix="granary-")
+    atexit.register(shutil.rmtree, own, True)
+    made = Path(own) / "granary-sources.zip"
     with zipfile.ZipFile(made, "w") as out:
         for file in sorted(top.rglob("*.py")):
             out.write(file, f"granary/{file.relative_to(top)}")
     context.addPyFile(str(made))
-    _shipped.add(id(context))
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,7 +70,9 @@ def shared_dir(spark: SparkSession) -> str:
     unset (a local session, as in tests) a temporary folder of this machine becomes that setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="granary-")
+        own = tempfile.mkdtemp(prefix="granary-")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -88,6 +104,24 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Groups up to which `even_labels` names each.
+MOST_LABELS = 10_000
+
+
+def even_labels(spark: SparkSession, groups: int, partitions: int) -> list[int] | None:
+    """Integer names of groups that Spark's hash deals evenly over the partitions, as many to each; None for more than
+    MOST_LABELS groups, which chance spreads well enough."""
+    if groups > MOST_LABELS:
+        return None
+    size = 16 * groups + 1000
+    while True:
+        at = spark.range(size).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions)).alias("at")).toArrow()["at"].to_numpy()
+        held = [np.flatnonzero(at == p).tolist() for p in range(min(partitions, groups))]
+        if all(len(held[g % partitions]) > g // partitions for g in range(groups)):
+            return [held[g % partitions][g // partitions] for g in range(groups)]
+        size *= 2
+
+
 # ---------------------------------------------------------------- bytes and words
 
 _SPACE = np.zeros(256, dtype=bool)

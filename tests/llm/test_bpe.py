@@ -47,9 +47,8 @@ def test_any_text(text):
     assert np.frombuffer(OURS.encode([text])[0], "<u4").tolist() == wanted(text)
 
 
-def test_cache_turns_over(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 50)
-    tool = bpe.Encoder(PATH)
+def test_cache_turns_over():
+    tool = bpe.Encoder(PATH, cache=50)
     r = random.Random(1)
     texts = [" ".join("".join(r.choices("abcdetn", k=r.randint(1, 5))) for _ in range(40)) for _ in range(40)]
     assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(texts)] == [wanted(t) for t in texts]
