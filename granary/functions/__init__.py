@@ -1 +1 @@
-"""Part of granary."""
+"""Search, hashes and encryption as column expressions."""

@@ -1 +1 @@
-"""Part of granary."""
+"""Changes of tables, constraint checks and transactions."""

@@ -1 +1 @@
-"""Part of granary."""
+"""The SQL dialect, statements and the registered queries."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.api import Database
 from granary.functions import search
-from granary.sources.tables import register, table
+from granary.sources.tables import table
 
 #: name -> (tables, SQL of the dialect, DuckDB SQL or None where the same text serves both).
 SQL: dict[str, tuple[tuple[str, ...], str, str | None]] = {
@@ -327,5 +327,3 @@ def oracle_sql() -> dict[str, str]:
     found = {name: other or sql for name, (_, sql, other) in SQL.items()}
     return found | {name: sql for name, (_, sql) in OTHERS.items()}
 
-
-__all__ = ["oracle_sql", "queries", "register"]

@@ -1 +1 @@
-"""Part of granary."""
+"""Tables: Parquet segments and manifests."""

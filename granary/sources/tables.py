@@ -1,19 +1,10 @@
-"""Parquet tables of a data directory as frames and views."""
+"""Parquet tables of a data directory as frames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`; the path may be of any file system Spark knows."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict:
-    """Point a temporary view at each named table; returns no extra arguments for `spark.sql`."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return {}

@@ -1 +1 @@
-"""Part of granary."""
+"""Streams: none, since the capability set has none; `events` is a batch table."""
