@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 BLOCK, HASH_BYTES = 256, 6
 #: Bits of the filter that picks the texts to verify (4 MB).
 FILTER_BITS = 1 << 25
+#: Bits of the filter of ids in `deduplicate`: a table of a 64th of it in rows.
+KEEP_BITS = 1 << 24
 
 
 # ---------------------------------------------------------------- sketches
@@ -374,10 +376,46 @@ def classes(docs: DataFrame) -> DataFrame:
     return named.union(alone)
 
 
+def _bits(column: str) -> list:
+    """Bits of an id in the filter of `deduplicate`."""
+    return [F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(KEEP_BITS)) for seed in (41, 42)]
+
+
+def _hit(frame: DataFrame, table: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Adds `hit_`: whether the filter knows the id (false for null)."""
+    out = frame
+    for k, bit in enumerate(_bits(column)):
+        # a table of KEEP_BITS / 64 rows at most
+        side = F.broadcast(table.select(F.col("word").alias(f"word_{k}"), F.col("bits").alias(f"bits_{k}")))
+        out = out.withColumn(f"bit_{k}", bit).withColumn(f"word_{k}", F.shiftright(f"bit_{k}", 6)).join(side, f"word_{k}", "left")
+    known = F.lit(True)
+    for k in range(2):
+        known = known & (F.expr(f"coalesce(bits_{k}, 0L) & shiftleft(1L, cast(bit_{k} % 64 AS int))") != 0)
+    return out.withColumn("hit_", known & F.col(column).isNotNull()).select(*frame.columns, "hit_")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """All columns of one row for each class: the one of its least id. Rows without an id or a word stay."""
-    firsts = classes(docs).filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """All columns of one row for each class: the one of its least id. Rows without an id or a word stay.
+
+    Texts stay where they are: a filter of fixed size holds the ids that go and those that several rows have. What it
+    doesn't know stays; what it does know stays only if its id is among the ids to keep that the filter knows
+    too, a set that is computed from ids alone.
+    """
+    named = scratch(classes(docs), "classes").filter("doc_id IS NOT NULL")
+    firsts = named.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     firsts = scratch(firsts, "firsts")
-    one = docs.join(firsts.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(firsts.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(several).union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    special = named.filter("doc_id <> class_id").select("doc_id").union(firsts.filter("n > 1").select("doc_id"))
+    table = scratch(
+        special.select(F.explode(F.array(*_bits("doc_id"))).alias("bit"))
+        .groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")),
+        "filter",
+    )
+    again = scratch(_hit(firsts, table).filter("hit_").select("doc_id", "n"), "again")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    marked = _hit(rows, table)
+    hits = marked.filter("hit_").drop("hit_")
+    one = hits.join(again.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    several = hits.join(again.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = marked.filter("NOT hit_").select("row").union(one.select("row")).union(several.select("row"))
+    return kept.select("row.*")
