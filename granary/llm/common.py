@@ -92,10 +92,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back: cuts the lineage, and a
-    lost executor costs a retry of the tasks that it ran, nothing more."""
+    lost executor costs a retry of the tasks that it ran, nothing more. narrow: rows are a few numbers each, so a task
+    takes four partitions, one after another, and there are fewer and larger files."""
     path = scratch_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(max(1, parts(df.sparkSession) // 4))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

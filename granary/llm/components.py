@@ -21,19 +21,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     they are joined back, so that a join's both sides are plain shuffles which Spark splits where a node is hot.
     """
     edges = scratch(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", narrow=True
     )
     state = _state(edges)
     for _ in range(most_rounds):
         if not state[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "large")
+        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "large", narrow=True)
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = scratch(large, "star")
-        least = scratch(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        large = scratch(large, "star", narrow=True)
+        least = scratch(large.groupBy("u").agg(F.min("v").alias("m")), "small", narrow=True)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = scratch(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = scratch(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -313,6 +313,7 @@ def classes(docs: DataFrame) -> DataFrame:
         .filter("n > 1 OR first IS NULL")
         .select("same_1", "same_2", F.coalesce("first", F.expr("-1 - shiftrightunsigned(same_1, 1)")).alias("node")),
         "copies",
+        narrow=True,
     )
     noded = worded.join(copies, ["same_1", "same_2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     members = scratch(noded.select("doc_id", "node"), "members")
@@ -322,9 +323,9 @@ def classes(docs: DataFrame) -> DataFrame:
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     full = scratch(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     met = scratch(keyed.join(full, "key").select("key", "node", "n"), "met")
-    degree = scratch(met.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    degree = scratch(met.groupBy("node").agg(F.sum("n").alias("degree")), "degree", narrow=True)
     ranked = met.join(degree, "node").select("key", "node", "degree")
-    hubs = scratch(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"))).alias("hub")).select("key", (-F.col("hub.less")).alias("hub")), "hubs")
+    hubs = scratch(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"))).alias("hub")).select("key", (-F.col("hub.less")).alias("hub")), "hubs", narrow=True)
     pairs = met.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     registers = nodes.select("node", "registers").join(degree.select("node"), "node", "left_semi")
     registers = scratch(registers, "registers")
@@ -344,6 +345,7 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = scratch(
         labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "n"),
         "mixed",
+        narrow=True,
     )
     open_rows = scratch(labelled.join(mixed, "key").select("key", "node", "label", "n"), "open")
     spread = (
@@ -369,7 +371,7 @@ def classes(docs: DataFrame) -> DataFrame:
     merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = scratch(roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
         merged.join(roots, merged["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    ), "roots")
+    ), "roots", narrow=True)
     named = members.join(final, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     named = named.withColumn("class_id", F.when(F.col("doc_id").isNull() & (F.col("class_id") < 0), F.lit(None)).otherwise(F.col("class_id")))
     alone = sketched.filter("keys IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
@@ -403,15 +405,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     named = scratch(classes(docs), "classes").filter("doc_id IS NOT NULL")
     firsts = named.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    firsts = scratch(firsts, "firsts")
+    firsts = scratch(firsts, "firsts", narrow=True)
     special = named.filter("doc_id <> class_id").select("doc_id").union(firsts.filter("n > 1").select("doc_id"))
     table = scratch(
         special.select(F.explode(F.array(*_bits("doc_id"))).alias("bit"))
         .groupBy(F.shiftright("bit", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")),
         "filter",
+        narrow=True,
     )
-    again = scratch(_hit(firsts, table).filter("hit_").select("doc_id", "n"), "again")
+    again = scratch(_hit(firsts, table).filter("hit_").select("doc_id", "n"), "again", narrow=True)
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
     marked = _hit(rows, table)
     hits = marked.filter("hit_").drop("hit_")
