@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, held_out, parts, scratch, slices, span_hashes, text_buffers
+from granary.llm.common import Words, even_labels, held_out, parts, scratch, slices, span_hashes, text_buffers
 
 UNITS, CLASSES, ROUNDS, DELTA = 1000, 64, 6, 0.1
 #: Tokens that one chunk of documents holds, about.
@@ -242,12 +242,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: sums over the tokens of each whole text."""
     spark = docs.sparkSession
     chunks = max(parts(spark), int(model.n * 1.3) // CHUNK_TOKENS + 1)
+    partitions = max(parts(spark), min(chunks, 100_000))
     shared = spark.sparkContext.broadcast(model)
-    dealt = (
-        docs.selectExpr("cast(doc_id as long) doc_id", "text")
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-        .repartition(max(parts(spark), min(chunks, 100_000)), "chunk")
-    )
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    labels = even_labels(spark, chunks, partitions)
+    if labels is not None:
+        chunk = F.element_at(F.lit(labels).cast("array<int>"), chunk + 1)
+    dealt = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumn("chunk", chunk).repartition(partitions, "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """chunk, token: the distinct tokens of each chunk's documents that are not units."""
