@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, mix64, parts, shingles, slices
+from granary.llm.common import Words, even_labels, mix64, parts, shingles, slices
 
 BINS, BITS, WIDTH = 512, 4, 5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,8 +154,11 @@ def digest(docs: DataFrame) -> DataFrame:
     placed = named.withColumn("part", where).withColumn(
         "to", F.explode(F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("extra")), F.struct(cases.alias("part"), F.lit(1).alias("extra"))), lambda x: x["part"].isNotNull()))
     )
+    # the ranges' own numbers would be dealt by chance, several to some tasks
+    labels = even_labels(docs.sparkSession, len(edges) + 2, parts(docs.sparkSession))
+    label = F.element_at(F.lit(labels).cast("array<int>"), F.col("to.part") + 1)
     spread = (
-        placed.select("doc_id", "text", "to.part", "to.extra")
+        placed.select("doc_id", "text", label.alias("part"), "to.extra")
         .repartition(parts(docs.sparkSession), "part")
         .sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
     )
