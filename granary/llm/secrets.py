@@ -1,15 +1,16 @@
 """Secret scans in DataFrame operations alone: fixed patterns, and a battery of randomness tests.
 
 Fixed patterns (leftmost, not overlapping, per kind): assign, access, hex. Beside them each run of 20 or more
-characters of an encoding is a candidate. Its encoding is the smallest alphabet that holds it, and it must
-have both a letter and a digit. Three tests take "characters drawn alike and independently from that
+characters of an encoding is a candidate. Its encoding is the smallest alphabet that holds it; where none does, its
+parts between "/" and "+", between "-" and "_", and between any of the four are candidates in its place, if they have
+20 or more characters. Three tests take "characters drawn alike and independently from that
 alphabet" as the null: chi-squared uniformity (Wilson-Hilferty), runs about the middle of the alphabet
 (Wald-Wolfowitz) and lag-1 serial correlation; their smallest p-value, times three, counts. Rejecting the null
 means "not a secret". How many rejections to believe is settled by false-discovery control
 (Benjamini-Hochberg) inside each stratum of encoding and length, since the power of the tests grows with
 the length; what stays unrejected is a span of kind `random`, unless it overlaps a fixed one.
 The p-values are counted in a histogram of bounded size, so no global sort is needed, and the only
-thing that reaches the driver is one threshold for each stratum (24 at most).
+thing that reaches the driver is one threshold for each stratum (four of each encoding).
 
 Defined cases: null text is the empty text, with no span; null or repeated ids are kept, one row each; an
 empty table gives an empty result. Positions are code points, ends exclusive. Extra columns are ignored.
@@ -29,7 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ASSIGN_LEAST = 6
-#: Encodings from the smallest alphabet on.
+#: Encodings; the smallest that holds a candidate is the one that counts.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("hexu", "0123456789ABCDEF"),
@@ -37,7 +38,10 @@ ALPHABETS = (
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("digits", "0123456789"),
 )
+#: Least length of a candidate and of a part of one.
+LEAST = 20
 LENGTH_STEPS = (28, 40, 64)
 #: False-discovery rate of "not a secret"; steps of the p-value histogram for each power of ten, and its size.
 RATE, STEPS, BINS = 0.01, 20, 240
@@ -88,17 +92,28 @@ def _tail(z: str) -> str:
     return f"(1 / (1 + exp(least(700D, 1.5976D * ({z}) + 0.070565992D * pow(least(30D, greatest(-30D, {z})), 3)))))"
 
 
+def _parts() -> str:
+    """SQL: candidates, and in place of one that no alphabet holds, its parts of LEAST or more characters."""
+    cut = lambda at: (
+        f"filter(aggregate(split(x.token, '[{at}]', -1), named_struct('at', x.start, 'out', {_NONE}), (s, w) -> named_struct("
+        "'at', s.at + length(w) + 1, 'out', array_append(s.out, named_struct('start', s.at, 'end', s.at + length(w), 'token', w))), "
+        f"s -> s.out), y -> length(y.token) >= {LEAST} AND not (rlike(y.token, '[/+]') AND rlike(y.token, '[_-]')))"
+    )
+    return (
+        "flatten(transform(random, x -> CASE WHEN rlike(x.token, '[/+]') AND rlike(x.token, '[_-]') "
+        f"THEN array_distinct(concat({cut('/+')}, {cut('_-')}, {cut('/+_-')})) ELSE array(x) END))"
+    )
+
+
 def _tested() -> str:
-    """SQL: candidates -> start, end, stratum, bin (of the p-value); those outside the question are left out."""
+    """SQL: candidates -> start, end, stratum, bin (of the p-value)."""
     which = " ".join(
         f"WHEN not rlike(x.token, '[^{alphabet.replace('-', '')}{'-' if '-' in alphabet else ''}]') THEN {k}"
-        for k, (_, alphabet) in enumerate(ALPHABETS)
+        for k, (_, alphabet) in sorted(enumerate(ALPHABETS), key=lambda x: len(x[1][1]))
     )
     alphabets = "array(" + ", ".join(f"'{a}'" for _, a in ALPHABETS) + ")"
     steps = " + ".join(f"cast(n >= {s} as int)" for s in LENGTH_STEPS)
-    inner = "filter(random, x -> rlike(x.token, '[0-9]') AND rlike(x.token, '[A-Za-z]'))"
-    a = f"transform({inner}, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'kind', CASE {which} END))"
-    a = f"filter({a}, x -> x.kind is not null)"
+    a = f"transform({_parts()}, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'kind', CASE {which} END))"
     b = (
         f"transform({a}, x -> named_struct('x', x, 'n', cast(length(x.token) as double), "
         f"'k', cast(length({alphabets}[x.kind]) as double), "
@@ -134,7 +149,7 @@ def _tested() -> str:
 
 
 def thresholds(tested: DataFrame) -> dict[int, int]:
-    """Benjamini-Hochberg per stratum, on the histogram: reject from this bin on (absent: none). 24 rows at most.
+    """Benjamini-Hochberg per stratum, on the histogram: reject from this bin on (absent: none). A row for each stratum at most.
 
     A bin b holds p-values no greater than 10^(-b / STEPS); that edge is taken for all of them.
     """
@@ -155,11 +170,13 @@ def spans(cut: dict[int, int]) -> Column:
     """kind, start, end by start, then kind as in KINDS, from the columns that `find` and `_tested` made."""
     limit = F.create_map(*[F.lit(x) for pair in (cut or {-1: BINS + 1}).items() for x in pair])
     fixed = F.concat(*(_places(k) for k in KINDS[:3]))
-    free = F.filter(
+    free = _places(F.filter(
         "tested",
         lambda t: (t["bin"] < F.coalesce(F.element_at(limit, t["stratum"]), F.lit(BINS + 1)))
         & ~F.exists(fixed, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])),
-    )
+    ))
+    # parts may overlap; what stands twice counts once
+    free = F.array_distinct(free)
 
     def ranked(column: Column | str, rank: int) -> Column:
         return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
@@ -172,7 +189,7 @@ def spans(cut: dict[int, int]) -> Column:
     )
 
 
-def _places(kind: str) -> Column:
+def _places(kind: Column | str) -> Column:
     return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 

@@ -66,6 +66,34 @@ def test_random_strings_and_words(spark, frame):
     assert not wrong
 
 
+def test_keys_in_runs_without_an_encoding(spark, frame):
+    """Keys behind paths and names, and keys without a digit, are found and masked."""
+    r = random.Random(7)
+    key = lambda n, letters: "".join(r.choices(letters, k=n))
+    letters = string.ascii_letters + string.digits
+    before = ("prod/db_key/", "services/T02-x/B00/", "a+b-c/", "x_y/")
+    rows, whole = [], {}
+    for k in range(40):
+        start, found = before[k % 4], key(24 + k % 3 * 8, letters)
+        rows.append((k, f"at {start}{found} end"))
+        whole[k] = (f"random:{3 + len(start)}:{3 + len(start) + len(found)}", found)
+    for k in range(40, 60):
+        found = key(24, string.ascii_letters)
+        rows.append((k, f"at {found} end"))
+        whole[k] = (f"random:3:{3 + len(found)}", found)
+    for k in range(60, 80):  # a key whose own alphabet has one of the marks
+        found = key(12, letters) + "_" + key(12, letters) + "-" + key(12, letters)
+        rows.append((k, f"at a/b/{found} end"))
+        whole[k] = (f"random:7:{7 + len(found)}", found)
+    docs = frame(rows)
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(docs).collect()}
+    assert sum(whole[k][0] in got[k].split(",") for k in whole) >= 0.95 * len(whole)
+    text = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    assert sum(found not in text[k] for k, (_, found) in whole.items()) >= 0.95 * len(whole)
+    plain = [(k, f"at some-path/of_{'x' * (20 + k)}/and_more-of/it end") for k in range(20)]
+    assert not any("random" in r["spans"] for r in secrets.digest(frame(plain)).collect())
+
+
 def test_mask(spark, frame):
     rows = [(1, "a token=abcdefgh b"), (2, "plain"), (3, None), (4, 'k token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" é'), (5, "")]
     docs = frame(rows).selectExpr("*", "cast(length(text) AS bigint) AS n_chars")
