@@ -3,7 +3,7 @@
 Fixed patterns (leftmost, not overlapping, per kind): assign, access, hex. Beside them each run of 20 or more
 characters of an encoding is a candidate. Its encoding is the smallest alphabet that holds it; where none does, its
 parts between "/" and "+", between "-" and "_", and between any of the four are candidates in its place, if they have
-20 or more characters. Three tests take "characters drawn alike and independently from that
+20 or more characters. Upper-case base36 is tested as base62 too. Three tests take "characters drawn alike and independently from that
 alphabet" as the null: chi-squared uniformity (Wilson-Hilferty), runs about the middle of the alphabet
 (Wald-Wolfowitz) and lag-1 serial correlation; their smallest p-value, times three, counts. Rejecting the null
 means "not a secret". How many rejections to believe is settled by false-discovery control
@@ -39,6 +39,12 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("digits", "0123456789"),
+    ("base32lower", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36lower", "0123456789abcdefghijklmnopqrstuvwxyz"),
+)
+#: Upper-case base36 is also base62 of few letters: such candidates are tested for both, and one that stands is enough.
+ALSO = (
+    ("base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
 )
 #: Least length of a candidate and of a part of one.
 LEAST = 20
@@ -105,15 +111,19 @@ def _parts() -> str:
     )
 
 
-def _tested() -> str:
-    """SQL: candidates -> start, end, stratum, bin (of the p-value)."""
+def _tested(also: bool = False) -> str:
+    """SQL: candidates -> start, end, stratum, bin (of the p-value). also: of the encodings in ALSO, where no smaller one holds
+    the candidate, in place of the others."""
+    every = ALPHABETS + ALSO
     which = " ".join(
         f"WHEN not rlike(x.token, '[^{alphabet.replace('-', '')}{'-' if '-' in alphabet else ''}]') THEN {k}"
-        for k, (_, alphabet) in sorted(enumerate(ALPHABETS), key=lambda x: len(x[1][1]))
+        for k, (_, alphabet) in sorted(enumerate(every if also else ALPHABETS), key=lambda x: len(x[1][1]))
     )
-    alphabets = "array(" + ", ".join(f"'{a}'" for _, a in ALPHABETS) + ")"
+    alphabets = "array(" + ", ".join(f"'{a}'" for _, a in every) + ")"
     steps = " + ".join(f"cast(n >= {s} as int)" for s in LENGTH_STEPS)
     a = f"transform({_parts()}, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'kind', CASE {which} END))"
+    if also:
+        a = f"filter({a}, x -> x.kind >= {len(ALPHABETS)})"
     b = (
         f"transform({a}, x -> named_struct('x', x, 'n', cast(length(x.token) as double), "
         f"'k', cast(length({alphabets}[x.kind]) as double), "
@@ -148,6 +158,10 @@ def _tested() -> str:
     )
 
 
+def _trials() -> str:
+    return f"concat({_tested()}, {_tested(also=True)})"
+
+
 def thresholds(tested: DataFrame) -> dict[int, int]:
     """Benjamini-Hochberg per stratum, on the histogram: reject from this bin on (absent: none). A row for each stratum at most.
 
@@ -167,7 +181,7 @@ def thresholds(tested: DataFrame) -> dict[int, int]:
 
 
 def spans(cut: dict[int, int]) -> Column:
-    """kind, start, end by start, then kind as in KINDS, from the columns that `find` and `_tested` made."""
+    """kind, start, end by start, then kind as in KINDS, from the columns that `find` and `_trials` made."""
     limit = F.create_map(*[F.lit(x) for pair in (cut or {-1: BINS + 1}).items() for x in pair])
     fixed = F.concat(*(_places(k) for k in KINDS[:3]))
     free = _places(F.filter(
@@ -199,7 +213,7 @@ def scan(docs: DataFrame) -> DataFrame:
     A scratch table keeps what the regexes found, so texts are read once.
     """
     keep = [c for c in docs.columns if c != "text"]
-    found = find(docs).select(*keep, *(_places(k).alias(k) for k in KINDS[:3]), F.expr(_tested()).alias("tested"))
+    found = find(docs).select(*keep, *(_places(k).alias(k) for k in KINDS[:3]), F.expr(_trials()).alias("tested"))
     found = scratch(found, "secrets")
     return found.select(*keep, spans(thresholds(found)).alias("spans"))
 
@@ -209,9 +223,9 @@ def masked(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
 
     Two passes over the texts, the first for the thresholds; nothing is stored.
     """
-    cut = thresholds(find(docs.select("text")).select(F.expr(_tested()).alias("tested")))
+    cut = thresholds(find(docs.select("text")).select(F.expr(_trials()).alias("tested")))
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = find(whole).withColumn("tested", F.expr(_tested())).select("row", spans(cut).alias("spans"))
+    found = find(whole).withColumn("tested", F.expr(_trials())).select("row", spans(cut).alias("spans"))
     made = found.select("row", "spans", mask(F.col("row.text"), F.col("spans"), by).alias("text"))
     columns = [F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns]
     if "n_chars" in docs.columns:

@@ -94,6 +94,18 @@ def test_keys_in_runs_without_an_encoding(spark, frame):
     assert not any("random" in r["spans"] for r in secrets.digest(frame(plain)).collect())
 
 
+def test_keys_of_one_case(spark, frame):
+    """Lower-case base32, and base36 of either case, however long."""
+    r = random.Random(11)
+    alphabets = (string.ascii_lowercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase)
+    keys = ["".join(r.choices(a, k=n)) for a in alphabets for n in (40, 64, 100, 128) for _ in range(25)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(frame([(k, f"at {x} end") for k, x in enumerate(keys)])).collect()}
+    for at in range(0, len(keys), 25):
+        assert sum(got[k] == f"random:3:{3 + len(keys[k])}" for k in range(at, at + 25)) >= 23
+    words = ["abc" * 20, "internationalization" * 3, "A1B2" * 16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    assert not any("random" in r["spans"] for r in secrets.digest(frame([(k, f"at {x} end") for k, x in enumerate(words)])).collect())
+
+
 def test_mask(spark, frame):
     rows = [(1, "a token=abcdefgh b"), (2, "plain"), (3, None), (4, 'k token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" é'), (5, "")]
     docs = frame(rows).selectExpr("*", "cast(length(text) AS bigint) AS n_chars")
