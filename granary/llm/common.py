@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +43,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-#: Rows of an Arrow batch: some megabytes of text, so that neither side of the pipe holds more at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: some megabytes of text, so that neither side of the pipe holds more at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors' Python workers, once for each Spark context, and keep batches small."""
+    """Send this package's sources to the executors' Python workers, once for each Spark context, and keep batches small
+    where the session has not chosen their size itself."""
     import granary
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -66,10 +70,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where that is
-    unset (a local session, as in tests) a temporary folder of this machine becomes that setting."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where that is unset, a local session (as in
+    tests) gets a temporary folder of this machine; on a cluster that would be no shared one, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="granary-")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
@@ -100,7 +106,15 @@ def scratch(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(max(1, parts(df.sparkSession) // 4))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
+def drop_scratch(*frames: DataFrame) -> None:
+    """Delete tables that `scratch` made, once nothing lazy reads them any more."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame._scratch_path)
 
 
 def parts(spark: SparkSession) -> int:
@@ -129,22 +143,9 @@ def even_labels(spark: SparkSession, groups: int, partitions: int) -> list[int]
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, to n of them."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        made = [np.cumprod(up), np.cumprod(down)]
-        if n > 4 * SLICE_BYTES:
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
+#: Masks of 0 to 8 bytes, and the bytes up to which `span_hashes` goes eight at a time.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG_SPAN = 64
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -211,14 +212,22 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the byte ranges, finalised together with their lengths."""
-    if not len(starts):
+    """64-bit hashes of the byte ranges: eight bytes after another enter a chain of finalisers, which starts from the length, for
+    all ranges at once; longer ranges are hashed one by one (XXH3). Neither is linear, so no texts are alike by construction."""
+    size = ends - starts
+    if not len(size):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * down[starts]
-    return mix64(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix64(size.astype(np.uint64), 13)
+    at, k = np.flatnonzero(size <= _LONG_SPAN), 0
+    while len(at := at[size[at] > k]):
+        out[at] = mix64(out[at] ^ (eight[starts[at] + k] & _MASKS[np.minimum(size[at] - k, 8)]), k)
+        k += 8
+    for i in np.flatnonzero(size > _LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : ends[i]])
+    return out
 
 
 def word_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:

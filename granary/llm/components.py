@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import scratch
+from granary.llm.common import drop_scratch, scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,13 +28,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "large", narrow=True)
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        nearest = scratch(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "large", narrow=True)
+        large = both.filter("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = scratch(large, "star", narrow=True)
         least = scratch(large.groupBy("u").agg(F.min("v").alias("m")), "small", narrow=True)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = scratch(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
+        past, edges = edges, scratch(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", narrow=True)
         before, state = state, _state(edges)
+        drop_scratch(past, nearest, large, least)  # the round's result is written
         if state == before:
             break
     else:
