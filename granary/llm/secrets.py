@@ -3,9 +3,10 @@
 Fixed patterns (leftmost, not overlapping, per kind): assign, access, hex. Beside them each run of 20 or more
 characters of an encoding is a candidate. Its encoding is the smallest alphabet that holds it; where none does, its
 parts between "/" and "+", between "-" and "_", and between any of the four are candidates in its place, if they have
-20 or more characters. Upper-case base36 is tested as base62 too. Three tests take "characters drawn alike and independently from that
-alphabet" as the null: chi-squared uniformity (Wilson-Hilferty), runs about the middle of the alphabet
-(Wald-Wolfowitz) and lag-1 serial correlation; their smallest p-value, times three, counts. Rejecting the null
+20 or more characters. Upper-case base36 is tested as base62 too. Four tests take "characters drawn alike and independently from that
+alphabet" as the null: chi-squared uniformity (Wilson-Hilferty) over its characters and over groups of them (frequent
+and other letters of either case, the rest: names are short, and few letters fill them), runs about the middle of the alphabet
+(Wald-Wolfowitz) and lag-1 serial correlation; their smallest p-value, times four, counts. Rejecting the null
 means "not a secret". How many rejections to believe is settled by false-discovery control
 (Benjamini-Hochberg) inside each stratum of encoding and length, since the power of the tests grows with
 the length; what stays unrejected is a span of kind `random`, unless it overlaps a fixed one.
@@ -13,7 +14,8 @@ The p-values are counted in a histogram of bounded size, so no global sort is ne
 thing that reaches the driver is one threshold for each stratum (four of each encoding).
 
 Defined cases: null text is the empty text, with no span; null or repeated ids are kept, one row each; an
-empty table gives an empty result. Positions are code points, ends exclusive. Extra columns are ignored.
+empty table gives an empty result. Positions are code points, ends exclusive. Extra columns are ignored. Time is linear in
+the text, its longest run and its matches (but for a factor that grows like their logarithm where they are sorted).
 """
 
 from __future__ import annotations
@@ -52,22 +54,45 @@ LENGTH_STEPS = (28, 40, 64)
 #: False-discovery rate of "not a secret"; steps of the p-value histogram for each power of ten, and its size.
 RATE, STEPS, BINS = 0.01, 20, 240
 
-_SPAN = "array<struct<start:int,end:int,token:string>>"
-_NONE = f"cast(array() as {_SPAN})"
+#: Groups of the second chi-squared test; every other character of an alphabet is in one more group. Then the most that is
+#: collected by appending to one array, and characters in one piece of a text that is masked.
+GROUPS = ("etaoinsrhl", "bcdfgjkmpquvwxyz", "ETAOINSRHL", "BCDFGJKMPQUVWXYZ")
+RUN, PIECE = 64, 4096
+
+_PLACE = "struct<start:int,end:int>"
+_SPAN = "struct<start:int,end:int,token:string>"
+_NONE = f"cast(array() as array<{_SPAN}>)"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body, where `name` is the value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(items: str, made: str, zero: str, after: str, out: str) -> str:
+    """SQL: what `out` makes (of SQL type `made`) of every item x and the state s before it; the state is `zero` first and `after` next.
+    Appending copies an array, so that is done for RUN items at a time. items: a column or lambda variable."""
+    step = f"x -> named_struct('s', {after}, 'out', array_append(i.out, {out}))".replace("x ->", "(i, x) ->", 1)
+    inner = (
+        f"aggregate(slice({items}, b * {RUN} + 1, {RUN}), named_struct('s', o.s, 'out', cast(array() as array<{made}>)), {step})"
+    )
+    return (
+        f"aggregate(sequence(0, cast((size({items}) - 1) div {RUN} as int)), named_struct('s', {zero}, 'out', cast(array() as array<array<{made}>>)), "
+        f"(o, b) -> aggregate(array({inner}), o, (p, r) -> named_struct('s', r.s, 'out', array_append(p.out, r.out))), o -> flatten(o.out))"
+    )
 
 
 def _spans() -> Column:
     """Matches `m_` with their places: texts between matches and matches, in turn, add up to the position."""
-    name = "m_"
-    return F.expr(
-        f"""aggregate(sequence(0, size({name}) - 1),
-              named_struct('at', 0, 'out', {_NONE}),
-              (s, i) -> named_struct(
-                'at', s.at + length(gaps[i]) + length({name}[i]),
-                'out', array_append(s.out, named_struct('start', s.at + length(gaps[i]),
-                       'end', s.at + length(gaps[i]) + length({name}[i]), 'token', {name}[i]))),
-              s -> s.out)"""
-    )
+    # bound by a lambda: as a column it could be put in the place of its name, and be computed for every match
+    items = _let("gaps", "cuts", "transform(m_, (m, k) -> named_struct('gap', length(cuts[k]), 'size', length(m), 'token', m))")
+    place = "named_struct('start', i.s + x.gap, 'end', i.s + x.gap + x.size, 'token', x.token)"
+    return F.expr(_let(items, "found", _running("found", _SPAN, "0", "i.s + x.gap + x.size", place)))
+
+
+def _once(items: str) -> str:
+    """SQL: the items, sorted, each of them once."""
+    return _let(f"sort_array({items})", "listed", "filter(listed, (x, k) -> k = 0 OR x <> listed[greatest(k - 1, 0)])")
 
 
 def _find(docs: DataFrame, kind: str, pattern: str, guard: Column) -> DataFrame:
@@ -100,66 +125,84 @@ def _tail(z: str) -> str:
 
 def _parts() -> str:
     """SQL: candidates, and in place of one that no alphabet holds, its parts of LEAST or more characters."""
-    cut = lambda at: (
-        f"filter(aggregate(split(x.token, '[{at}]', -1), named_struct('at', x.start, 'out', {_NONE}), (s, w) -> named_struct("
-        "'at', s.at + length(w) + 1, 'out', array_append(s.out, named_struct('start', s.at, 'end', s.at + length(w), 'token', w))), "
-        f"s -> s.out), y -> length(y.token) >= {LEAST} AND not (rlike(y.token, '[/+]') AND rlike(y.token, '[_-]')))"
-    )
+
+    def cut(at: str) -> str:
+        place = "named_struct('start', i.s, 'end', i.s + length(x), 'token', x)"
+        parts = _let(f"split(whole.token, '[{at}]', -1)", "pieces", _running("pieces", _SPAN, "whole.start", "i.s + length(x) + 1", place))
+        return f"filter({parts}, y -> length(y.token) >= {LEAST} AND not (rlike(y.token, '[/+]') AND rlike(y.token, '[_-]')))"
+
     return (
-        "flatten(transform(random, x -> CASE WHEN rlike(x.token, '[/+]') AND rlike(x.token, '[_-]') "
-        f"THEN array_distinct(concat({cut('/+')}, {cut('_-')}, {cut('/+_-')})) ELSE array(x) END))"
+        "flatten(transform(random, whole -> CASE WHEN rlike(whole.token, '[/+]') AND rlike(whole.token, '[_-]') "
+        f"THEN {_once('concat(' + ', '.join(map(cut, ('/+', '_-', '/+_-'))) + ')')} ELSE array(whole) END))"
     )
 
 
-def _tested(also: bool = False) -> str:
-    """SQL: candidates -> start, end, stratum, bin (of the p-value). also: of the encodings in ALSO, where no smaller one holds
-    the candidate, in place of the others."""
+def _trials() -> str:
+    """SQL: candidates -> start, end, stratum, bin (of the p-value): of the smallest alphabet, and of one in ALSO if that is smaller."""
     every = ALPHABETS + ALSO
-    which = " ".join(
-        f"WHEN not rlike(x.token, '[^{alphabet.replace('-', '')}{'-' if '-' in alphabet else ''}]') THEN {k}"
-        for k, (_, alphabet) in sorted(enumerate(every if also else ALPHABETS), key=lambda x: len(x[1][1]))
-    )
-    alphabets = "array(" + ", ".join(f"'{a}'" for _, a in every) + ")"
-    steps = " + ".join(f"cast(n >= {s} as int)" for s in LENGTH_STEPS)
-    a = f"transform({_parts()}, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'kind', CASE {which} END))"
-    if also:
-        a = f"filter({a}, x -> x.kind >= {len(ALPHABETS)})"
+
+    def which(known: tuple) -> str:
+        cases = " ".join(
+            f"WHEN not rlike(x.token, '[^{alphabet.replace('-', '')}{'-' if '-' in alphabet else ''}]') THEN {every.index((name, alphabet))}"
+            for name, alphabet in sorted(known, key=lambda x: len(x[1]))
+        )
+        return f"CASE {cases} END"
+
+    listed = lambda values: "array(" + ", ".join(values) + ")"
+    alphabets = listed(f"'{a}'" for _, a in every)
+    # of each alphabet, the size of each group (the other characters last)
+    sizes = [[sum(c in g for c in a) for g in GROUPS] for _, a in every]
+    sizes = [[*s, len(a) - sum(s)] for s, (_, a) in zip(sizes, every, strict=True)]
+    held = [f"cast(length(x.token) - length(translate(x.token, '{g}', '')) as double)" for g in GROUPS]
+    held.append(f"cast(length(translate(x.token, '{''.join(GROUPS)}', '')) as double)")
+    groups = listed(listed(f"{n}D" for n in s) for s in sizes)
+    kinds = f"transform(array({which(every)}), y -> IF(y < {len(ALPHABETS)}, array(y), array({which(ALPHABETS)}, y)))[0]"
+    a = f"flatten(transform({_parts()}, x -> transform({kinds}, y -> named_struct('start', x.start, 'end', x.end, 'token', x.token, 'kind', y))))"
     b = (
-        f"transform({a}, x -> named_struct('x', x, 'n', cast(length(x.token) as double), "
+        f"transform({a}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'n', cast(length(x.token) as double), "
         f"'k', cast(length({alphabets}[x.kind]) as double), "
         f"'v', transform(split(x.token, ''), c -> cast(locate(c, {alphabets}[x.kind]) - 1 as double)), "
-        f"'sq', aggregate(array_distinct(split(x.token, '')), 0D, (s, c) -> s + pow(length(x.token) - length(replace(x.token, c, '')), 2))))"
+        f"'held', {listed(held)}, 'of', {groups}[x.kind], "
+        "'sq', aggregate(array_distinct(split(x.token, '')), 0D, (s, c) -> s + pow(length(x.token) - length(replace(x.token, c, '')), 2))))"
+    )
+    # one pass over the characters: high ones, runs, and the sums that the correlation takes
+    pass_ = (
+        "aggregate(t.v, named_struct('last', -1D, 'high', 0D, 'runs', 0D, 'sum', 0D, 'squares', 0D, 'products', 0D), (s, y) -> named_struct("
+        "'last', y, 'high', s.high + cast(y >= t.k / 2 as double), "
+        "'runs', s.runs + cast(s.last < 0 OR (y >= t.k / 2) != (s.last >= t.k / 2) as double), "
+        "'sum', s.sum + y, 'squares', s.squares + y * y, 'products', s.products + IF(s.last < 0, 0D, s.last * y)))"
     )
-    mean = "aggregate(t.v, 0D, (s, y) -> s + y) / t.n"
     c = (
-        f"transform({b}, t -> named_struct('x', t.x, 'n', t.n, 'k', t.k, 'chi', t.sq * t.k / t.n - t.n, "
-        "'n1', aggregate(t.v, 0D, (s, y) -> s + cast(y >= t.k / 2 as double)), "
-        "'runs', aggregate(slice(t.v, 2, size(t.v)), named_struct('last', t.v[0] >= t.k / 2, 'r', 1D), "
-        "(s, y) -> named_struct('last', y >= t.k / 2, 'r', s.r + cast((y >= t.k / 2) != s.last as double)), s -> s.r), "
-        f"'c', transform(t.v, y -> y - {mean})))"
+        f"transform({b}, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'n', t.n, 'k', t.k, 'chi', t.sq * t.k / t.n - t.n, "
+        "'first', t.v[0], 'final', t.v[size(t.v) - 1], "
+        "'df', cast(size(filter(t.of, g -> g > 0)) - 1 as double), "
+        "'groups', aggregate(zip_with(t.held, t.of, (h, g) -> IF(g > 0, h * h * t.k / (g * t.n), 0D)), 0D, (s, y) -> s + y) - t.n, "
+        f"'s', {pass_}))"
     )
+    # sums of the deviations from the mean m: squares - n m m, and products - m (2 sum - first - final) + (n - 1) m m
     d = (
-        f"transform({c}, t -> named_struct('x', t.x, 'n', t.n, "
-        "'z1', (pow(t.chi / (t.k - 1), 1D / 3) - (1 - 2 / (9 * (t.k - 1)))) / sqrt(2 / (9 * (t.k - 1))), "
-        "'mu', 2 * t.n1 * (t.n - t.n1) / t.n + 1, 'runs', t.runs, "
-        "'z3', coalesce(abs(aggregate(sequence(0, size(t.c) - 2), 0D, (s, i) -> s + t.c[i] * t.c[i + 1]) "
-        "/ nullif(aggregate(t.c, 0D, (s, y) -> s + y * y), 0D) + 1 / t.n) * sqrt(t.n), 30D)))"
+        f"transform({c}, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'n', t.n, "
+        f"'z1', {_chi_z('t.chi', '(t.k - 1)')}, 'z4', IF(t.df < 1, -30D, {_chi_z('t.groups', 'greatest(t.df, 1D)')}), "
+        "'mu', 2 * t.s.high * (t.n - t.s.high) / t.n + 1, 'runs', t.s.runs, "
+        "'z3', coalesce(abs((t.s.products - t.s.sum / t.n * (2 * t.s.sum - t.first - t.final) + (t.n - 1) * pow(t.s.sum / t.n, 2)) "
+        "/ nullif(greatest(t.s.squares - t.s.sum * t.s.sum / t.n, 0D), 0D) + 1 / t.n) * sqrt(t.n), 30D)))"
     )
     e = (
-        f"transform({d}, t -> named_struct('x', t.x, 'n', t.n, 'p', least(1D, 3 * least({_tail('t.z1')}, "
+        f"transform({d}, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'n', t.n, 'p', least(1D, 4 * least({_tail('t.z1')}, {_tail('t.z4')}, "
         f"2 * {_tail('coalesce(abs(t.runs - t.mu) / sqrt(nullif(greatest((t.mu - 1) * (t.mu - 2) / (t.n - 1), 0D), 0D)), 30D)')}, "
         f"2 * {_tail('t.z3')}))))"
     )
-    n = steps.replace("n >=", "t.n >=")
+    steps = " + ".join(f"cast(t.n >= {s} as int)" for s in LENGTH_STEPS)
     return (
-        f"transform({e}, t -> named_struct('start', t.x.start, 'end', t.x.end, "
-        f"'stratum', t.x.kind * {len(LENGTH_STEPS) + 1} + {n}, "
+        f"transform({e}, t -> named_struct('start', t.start, 'end', t.end, "
+        f"'stratum', t.kind * {len(LENGTH_STEPS) + 1} + {steps}, "
         f"'bin', cast(least({BINS}D, floor(-log10(greatest(t.p, 1e-300D)) * {STEPS})) as int)))"
     )
 
 
-def _trials() -> str:
-    return f"concat({_tested()}, {_tested(also=True)})"
+def _chi_z(chi: str, df: str) -> str:
+    """Normal score of a chi-squared statistic (Wilson-Hilferty)."""
+    return f"(pow(greatest({chi}, 0D) / {df}, 1D / 3) - (1 - 2 / (9 * {df}))) / sqrt(2 / (9 * {df}))"
 
 
 def thresholds(tested: DataFrame) -> dict[int, int]:
@@ -182,25 +225,22 @@ def thresholds(tested: DataFrame) -> dict[int, int]:
 
 def spans(cut: dict[int, int]) -> Column:
     """kind, start, end by start, then kind as in KINDS, from the columns that `find` and `_trials` made."""
-    limit = F.create_map(*[F.lit(x) for pair in (cut or {-1: BINS + 1}).items() for x in pair])
-    fixed = F.concat(*(_places(k) for k in KINDS[:3]))
-    free = _places(F.filter(
-        "tested",
-        lambda t: (t["bin"] < F.coalesce(F.element_at(limit, t["stratum"]), F.lit(BINS + 1)))
-        & ~F.exists(fixed, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])),
-    ))
-    # parts may overlap; what stands twice counts once
-    free = F.array_distinct(free)
-
-    def ranked(column: Column | str, rank: int) -> Column:
-        return F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
-
-    named = [ranked(c, rank) for rank, c in enumerate((*KINDS[:3], free))]
-    kinds = F.array(*map(F.lit, KINDS))
-    return F.transform(
-        F.array_sort(F.concat(*named)),
-        lambda x: F.struct(kinds[x["rank"]].alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
+    limit = ", ".join(f"{k}, {b}" for k, b in (cut or {-1: BINS + 1}).items())
+    event = "struct<start:int,rank:int,end:int>"
+    listed = [f"transform({kind}, x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end))" for rank, kind in enumerate(KINDS[:3])]
+    listed.append(
+        f"transform(filter(tested, x -> x.bin < coalesce(element_at(map({limit}), x.stratum), {BINS + 1})), "
+        "x -> named_struct('start', x.start, 'rank', 3, 'end', x.end))"
     )
+    # parts may overlap, and what is tested twice stands once
+    every = _once(f"concat({', '.join(listed)})")
+    # a random span goes if a fixed one that starts no later (and sorts before it) ends after its start, ...
+    ahead = _running("every", event, "-1", "IF(x.rank < 3, greatest(i.s, x.end), i.s)", "IF(x.rank = 3 AND i.s > x.start, named_struct('start', x.start, 'rank', 4, 'end', x.end), x)")
+    # ... or one that starts later starts before its end
+    back = _running("turned", event, "2147483647", "IF(x.rank < 3, x.start, i.s)", "IF(x.rank = 3 AND i.s < x.end, named_struct('start', x.start, 'rank', 4, 'end', x.end), x)")
+    left = _let(every, "every", f"IF(size(every) = 0, every, reverse({_let(f'reverse({ahead})', 'turned', back)}))")
+    kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    return F.expr(f"transform(filter({left}, x -> x.rank < 4), x -> named_struct('kind', {kinds}[x.rank], 'start', x.start, 'end', x.end))")
 
 
 def _places(kind: Column | str) -> Column:
@@ -208,14 +248,16 @@ def _places(kind: Column | str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The columns of `docs` but for text, and spans: array of kind, start, end by start, then kind as in KINDS.
+    """The columns of `docs` but for text, and spans: array of kind, start, end by start, then kind as in KINDS (in place of a column
+    of that name).
 
     A scratch table keeps what the regexes found, so texts are read once.
     """
-    keep = [c for c in docs.columns if c != "text"]
-    found = find(docs).select(*keep, *(_places(k).alias(k) for k in KINDS[:3]), F.expr(_trials()).alias("tested"))
+    keep = [c for c in docs.columns if c not in ("text", "spans")]
+    whole = docs.select(F.struct(*(F.col(c) for c in keep) if keep else [F.lit(0)]).alias("row"), "text")
+    found = find(whole).select("row", *(_places(k).alias(k) for k in KINDS[:3]), F.expr(_trials()).alias("tested"))
     found = scratch(found, "secrets")
-    return found.select(*keep, spans(thresholds(found)).alias("spans"))
+    return found.select("row", spans(thresholds(found)).alias("spans")).select(*(F.col(f"row.{c}") for c in keep), "spans")
 
 
 def masked(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
@@ -226,7 +268,7 @@ def masked(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
     cut = thresholds(find(docs.select("text")).select(F.expr(_trials()).alias("tested")))
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = find(whole).withColumn("tested", F.expr(_trials())).select("row", spans(cut).alias("spans"))
-    made = found.select("row", "spans", mask(F.col("row.text"), F.col("spans"), by).alias("text"))
+    made = found.select("row", "spans", mask("row.text", "spans", by).alias("text"))
     columns = [F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns]
     if "n_chars" in docs.columns:
         at = docs.columns.index("n_chars")
@@ -240,21 +282,21 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
-    """The text with every span, or union of overlapping ones, replaced by one mark."""
-    merged = F.aggregate(
-        F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["end"] <= s["at"], s["out"])
-            .when((x["start"] < s["at"]), s["out"])
-            .otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(by)))
-            .alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
+def mask(text: str, spans: str, by: str = "[SECRET]") -> Column:
+    """The text with every span, or union of overlapping ones, replaced by one mark. text, spans: names of columns.
+
+    The text is cut into pieces of PIECE characters, since every look at a place counts characters from the left.
+    """
+    inside = (
+        f"array_join(transform(sequence(cast(g.start div {PIECE} as int), cast((g.end - 1) div {PIECE} as int)), c -> substring(pieces[c], greatest(g.start - c * {PIECE}, 0) + 1, "
+        f"least(g.end, (c + 1) * {PIECE}) - greatest(g.start, c * {PIECE}))), '')"
     )
-    return F.when(F.size(spans) > 0, merged).otherwise(text)
+    gaps = _running("ordered", _PLACE, "0", "greatest(i.s, x.end)", "named_struct('start', i.s, 'end', x.start)")
+    # a span that starts before the end of an earlier one opens no gap
+    gaps = f"concat(filter({gaps}, x -> x.start <= x.end), array(named_struct('start', array_max(transform({spans}, x -> x.end)), 'end', length({text}))))"
+    ordered = f"sort_array(transform({spans}, x -> named_struct('start', x.start, 'end', x.end)))"
+    made = _let(f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}+', 0)", "pieces", f"transform({_let(ordered, 'ordered', gaps)}, g -> IF(g.start < g.end, {inside}, ''))")
+    return F.when(F.size(spans) > 0, F.array_join(F.expr(made), by)).otherwise(F.col(text))
 
 
 def digest(docs: DataFrame) -> DataFrame:

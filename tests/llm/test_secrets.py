@@ -1,7 +1,11 @@
 import hashlib
+import math
+import os
 import random
 import re
 import string
+import time
+from pathlib import Path
 
 import pytest
 
@@ -129,38 +133,152 @@ def test_documents(spark):
         assert got[r["doc_id"]] == hashlib.sha256(join(base(r["text"])).encode()).hexdigest()
 
 
+def tail(z):
+    return 1 / (1 + math.exp(min(700, 1.5976 * z + 0.070565992 * min(30, max(-30, z)) ** 3)))
+
+
+def p_value(t, alphabet):
+    """Four tests by their definitions."""
+    n, k = len(t), len(alphabet)
+    v = [alphabet.index(c) for c in t]
+    score = lambda chi, df: ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    z1 = score(sum(t.count(c) ** 2 for c in set(t)) * k / n - n, k - 1)
+    groups = [[c for c in alphabet if c in g] for g in secrets.GROUPS]
+    groups.append([c for c in alphabet if not any(c in g for g in secrets.GROUPS)])
+    groups = [g for g in groups if g]
+    z4 = score(sum((sum(c in g for c in t) - n * len(g) / k) ** 2 / (n * len(g) / k) for g in groups), len(groups) - 1) if len(groups) > 1 else -30
+    high = [x >= k / 2 for x in v]
+    n1 = sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mu = 2 * n1 * (n - n1) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z2 = abs(runs - mu) / math.sqrt(var) if var > 0 else 30
+    m = sum(v) / n
+    square = sum((a - m) ** 2 for a in v)
+    z3 = abs(sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / square + 1 / n) * math.sqrt(n) if square else 30
+    return min(1, 4 * min(tail(z1), tail(z4), 2 * tail(z2), 2 * tail(z3)))
+
+
+def final(texts):
+    """All spans of each text: battery, false-discovery control and overlaps in plain Python."""
+    every = [*secrets.ALPHABETS, *secrets.ALSO]
+    tested = []
+    for at, text in enumerate(texts):
+        runs = [(m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]+", text or "") if len(m[0]) >= secrets.LEAST]
+        for start, run in runs:
+            pieces = {(start, run)}
+            if re.search("[/+]", run) and re.search("[_-]", run):
+                pieces = {(start + m.start(), m[0]) for cut in ("/+", "_\\-", "/+_\\-") for m in re.finditer(f"[^{cut}]+", run)}
+                pieces = {(s, p) for s, p in pieces if len(p) >= secrets.LEAST and not (re.search("[/+]", p) and re.search("[_-]", p))}
+            for s, p in pieces:
+                fits = lambda known: [k for k in sorted(range(len(known)), key=lambda k: len(known[k][1])) if set(p) <= set(known[k][1])]  # noqa: B023, E731
+                kinds = {fits(secrets.ALPHABETS)[0]} | {k for k in fits(every)[:1] if k >= len(secrets.ALPHABETS)}
+                for kind in kinds:
+                    bin_ = min(secrets.BINS, math.floor(-math.log10(max(p_value(p, every[kind][1]), 1e-300)) * secrets.STEPS))
+                    stratum = (kind, sum(len(p) >= x for x in secrets.LENGTH_STEPS))
+                    tested.append((at, s, s + len(p), stratum, bin_))
+    cut = {}
+    for stratum in {t[3] for t in tested}:
+        bins = [t[4] for t in tested if t[3] == stratum]
+        good = [b for b in set(bins) if len(bins) * 10 ** (-b / secrets.STEPS) <= secrets.RATE * sum(x >= b for x in bins)]
+        cut[stratum] = min(good, default=secrets.BINS + 1)
+    out = []
+    for at, text in enumerate(texts):
+        fixed = base(text)
+        free = {(s, e) for d, s, e, stratum, b in tested if d == at and b < cut[stratum]}
+        free = {(s, e) for s, e in free if not any(x < e and s < y for _, x, y in fixed)}
+        spans = sorted([(s, secrets.KINDS.index(k), e) for k, s, e in fixed] + [(s, 3, e) for s, e in free])
+        out.append(join((secrets.KINDS[k], s, e) for s, k, e in spans))
+    return out
+
+
+def test_final_spans_by_definition(spark, frame):
+    r = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    bits = [" ", "\n", "token=", "a/b_c/", "x-y+z/", "the_quick-brown_fox/jumps+over-it/", "getUserAccountByIdName", "é😀", "AKIA", "deadbeef" * 3, "internationalization", "="]
+    texts = [None, ""]
+    for _ in range(150):
+        made = ["".join(r.choices(a, k=r.choice((12, 20, 27, 45, 80)))) for a in (letters, letters + "+/", letters + "-_", "0123456789abcdef", string.ascii_lowercase, "A2B3C4D5")]
+        texts.append("".join(r.choice(made + bits) for _ in range(12)))
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(frame(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == final(texts)
+
+
+def test_long_runs_and_many_matches(spark, frame):
+    """A run of 300,000 characters and 20,000 matches take seconds, in the scan and in the mask."""
+    r = random.Random(3)
+    run = "".join(r.choices(string.ascii_letters + string.digits + "+/", k=300_000))
+    many = " ".join("".join(r.choices("0123456789abcdef", k=24)) for _ in range(20_000))
+    paths = "/".join("ab_c-" + "".join(r.choices(string.ascii_letters, k=20)) for _ in range(4_000))
+    docs = frame([(1, f"data {run} end"), (2, many), (3, f"é {paths}")])
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secrets.digest(docs).collect()}
+    assert got[1]["spans"] in ("", f"random:5:{5 + len(run)}") and got[2]["n_hex"] == 20_000
+    assert got[2]["base_sha256"] == hashlib.sha256(join(base(many)).encode()).hexdigest()
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs).collect()}
+    assert masked[2] == " ".join(["[SECRET]"] * 20_000)
+    places = [tuple(map(int, s.split(":")[1:])) for s in got[3]["spans"].split(",") if s]
+    out, at, text = [], 0, f"é {paths}"
+    for start, end in sorted(places):
+        if start >= at:
+            out.append(text[at:start] + "[SECRET]")
+        at = max(at, end)
+    assert masked[3] == "".join(out) + text[at:]
+    assert time.perf_counter() - began < 60
+
+
+def test_mask_of_overlapping_spans(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        text = "".join(r.choices("abcé😀\n ", k=r.choice((5, 50, 9000))))
+        spans = []
+        for _ in range(r.randrange(0, 12)):
+            a = r.randrange(len(text))
+            spans.append((a, min(len(text), a + r.choice((1, 3, 40, 5000)))))
+        rows.append((k, text, spans))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, places array<struct<start:int,end:int>>")
+    got = {x["doc_id"]: x["m"] for x in docs.select("doc_id", secrets.mask("text", "places", "#").alias("m")).collect()}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for a, b in sorted(spans):
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[k] == out + text[at:]
+
+
+def test_precision_on_code(spark, frame):
+    """Names and paths of the standard library are no secrets, but for a few; random keys of 32 characters are."""
+    names = set()
+    for file in sorted(Path(os.__file__).parent.glob("*.py"))[:150]:
+        text = file.read_text(errors="ignore")
+        names |= set(re.findall(r"[A-Za-z0-9+/_-]{20,}", text))
+        names.add(str(file.parent / "site-packages" / file.name).replace(".", "-"))
+    names = sorted(n for n in names if not re.search("(.)\\1{7}|[0-9a-f]{20}|[A-Z2-7]{24}|0123456789|[A-Za-z]{24}", n) or "/" in n)
+    r = random.Random(4)
+    camel = ["".join(w.capitalize() for w in r.sample(["get", "user", "account", "by", "id", "name", "list", "factory", "request", "handler", "index"], 5)) for _ in range(300)]
+    keys = ["".join(r.choices(string.ascii_letters + string.digits, k=32)) for _ in range(300)]
+    rows = list(enumerate([*names, *(c for c in camel if len(c) >= 20), *keys]))
+    got = {x["doc_id"]: x["spans"] for x in secrets.digest(frame([(k, f"x {t} y") for k, t in rows])).collect()}
+    hits = [t for k, t in rows[: -len(keys)] if "random" in got[k]]
+    found = sum("random" in got[k] for k, _ in rows[-len(keys) :])
+    assert found >= 0.97 * len(keys)
+    assert len(hits) <= 0.05 * (len(rows) - len(keys)), hits[:40]
+
+
 @pytest.mark.parametrize("size", [20, 33, 100])
 def test_statistics_by_definition(spark, size):
     """The battery's p-values against the formulas, in bins."""
-    import math
-
     r = random.Random(size)
     alphabet = secrets.ALPHABETS[3][1]
     tokens = ["".join(r.choices(alphabet, k=size)) for _ in range(40)] + ["".join(r.choices(alphabet[:30], k=size)) for _ in range(10)]
-    tokens = [t for t in tokens if re.search("[0-9]", t) and re.search("[A-Za-z]", t) and not re.fullmatch("[0-9a-f]+|[0-9A-F]+|[A-Z2-7]+", t)]
-
-    def tail(z):
-        return 1 / (1 + math.exp(min(700, 1.5976 * z + 0.070565992 * min(30, max(-30, z)) ** 3)))
-
-    def p_value(t):
-        n, k = len(t), 62
-        v = [alphabet.index(c) for c in t]
-        chi = sum(t.count(c) ** 2 for c in set(t)) * k / n - n
-        z1 = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-        high = [x >= k / 2 for x in v]
-        n1 = sum(high)
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-        mu = 2 * n1 * (n - n1) / n + 1
-        var = (mu - 1) * (mu - 2) / (n - 1)
-        z2 = abs(runs - mu) / math.sqrt(var) if var > 0 else 30
-        m = sum(v) / n
-        r1 = sum((a - m) * (b - m) for a, b in zip(v, v[1:])) / sum((a - m) ** 2 for a in v)
-        z3 = abs(r1 + 1 / n) * math.sqrt(n)
-        return min(1, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)))
+    # of the alphabet itself, no smaller one
+    tokens = [t for t in tokens if re.search("[a-z]", t) and re.search("[A-Z]", t) and re.search("[0-9]", t) and re.search("[A-Za-z]", t) and not re.fullmatch("[0-9a-f]+|[0-9A-F]+|[A-Z2-7]+", t)]
 
     docs = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
-    found = secrets.find(docs).selectExpr("doc_id", secrets._tested() + " AS tested").collect()
+    found = secrets.find(docs).selectExpr("doc_id", secrets._trials() + " AS tested").collect()
     for row in found:
         (one,) = row["tested"]
-        p = p_value(tokens[row["doc_id"]])
+        p = p_value(tokens[row["doc_id"]], alphabet)
         assert abs(one["bin"] - min(secrets.BINS, math.floor(-math.log10(p) * secrets.STEPS))) <= 1
