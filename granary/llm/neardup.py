@@ -6,21 +6,24 @@ weight: arrivals fall into random registers, each register keeps the shingle of
 soon as its next arrival is later than the latest register of its document (early termination). Two documents agree
 in a register with a probability equal to their probability Jaccard.
 
-1. Documents with equal words are one node at once; copies are never compared nor expanded into pairs.
+1. Documents with equal words are one node at once, whatever their ids; copies are never compared nor expanded into pairs.
 2. `BANDS` bands of `ROWS` registers give bucket keys. In each bucket the members are paired with one hub, the
    member that meets the most others over all bands: pairs grow with the members, not with their square.
 3. Pairs that the registers don't rule out (agreement below `DOUBT` is over four standard deviations from 0.8)
    are verified on the whole shingle multisets, and links become components.
-4. Buckets that still hold more than one component are searched in full, block against block: registers are
-   compared, promising pairs of different components are verified unless they got connected meanwhile, and
-   only the links that connect something come out. No bucket is capped, no pair of different components is left out.
+4. Buckets that still hold more than one component are searched in full, block against block: first registers alone are
+   compared, each pair in the first bucket that it shares. Only members of promising pairs of different components bring their
+   shingles, and are verified unless they got connected meanwhile; only the links that connect something come out.
+   No bucket is capped, no pair of different components is left out.
 
 A pair at 0.8 shares a bucket with a probability of 0.9994, one at 0.85 with 0.999997.
 
-Defined cases: texts without a word (null, empty) have no shingle, and each such row is a class of its own; copies,
-repeated rows and rows of one id share a class; rows without an id belong to the class of the rows with equal words
-(class null if none of those has an id) and are compared no further; an empty table gives an empty result; extra
-columns are ignored. Whole texts are taken.
+Rows are named by a 64-bit hash of id and text, a node by the least name of its rows, so rows of one id with unlike texts are
+nodes of their own, and rows without an id are compared like all others. (Of ten billion rows about three pairs share a name.)
+
+Defined cases: texts without a word (null, empty) have no shingle, and each such row is a class of its own; copies and
+repeated rows share a class; rows of one id with unlike texts belong to the class of their text each; a class without any id is
+null; an empty table gives an empty result; extra columns are ignored. Whole texts are taken.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.common import Words, mix64, scratch, shingles, slices, text_buffers
@@ -39,10 +42,11 @@ WIDTH, LEAST, BANDS, ROWS, DOUBT = 5, 0.8, 40, 8, 0.70
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that one task compares with as many others, and bytes of a shingle's hash that verification keeps.
 BLOCK, HASH_BYTES = 256, 6
-#: Bits of the filter that picks the texts to verify (4 MB).
-FILTER_BITS = 1 << 25
-#: Bits of the filter of ids in `deduplicate`: a table of a 64th of it in rows.
-KEEP_BITS = 1 << 24
+#: The filter that picks the texts to verify has FILTER_EACH bits for each of them; where that is more than FILTER_MOST (16 MB),
+#: the texts are shuffled to a join in its place.
+FILTER_EACH, FILTER_MOST = 16, 1 << 27
+#: Rows that go, up to which `deduplicate` broadcasts their names (16 bytes each); beyond it the rows are shuffled to a join.
+BROADCAST_ROWS = 1 << 21
 
 
 # ---------------------------------------------------------------- sketches
@@ -144,15 +148,21 @@ def _text_slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-SKETCH = "doc_id long, same_1 long, same_2 long, keys array<long>, registers binary"
+SKETCH = "row long, doc_id long, same_1 long, same_2 long, keys array<long>, registers binary"
+
 
+def row_name() -> Column:
+    """The name of a row: a hash of its id and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce("text", F.lit(""))).alias("row")
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: a 128-bit hash of its words in order, band keys, and the low byte of each register (null without words)."""
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """row, doc_id, text -> row, doc_id, a 128-bit hash of its words in order, band keys, and the low byte of each register
+    (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in _text_slices(batch.column(1)):
+            for a, b, words in _text_slices(batch.column(2)):
                 rows = b - a
                 hashes = words.hashes()
                 doc = words.doc
@@ -169,50 +179,62 @@ def sketches(docs: DataFrame) -> DataFrame:
                 listed = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(none))
                 low = (winners & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], *same, listed, pa.array([None if x else r.tobytes() for x, r in zip(none, low, strict=True)], pa.binary())],
-                    names=["doc_id", "same_1", "same_2", "keys", "registers"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], *same, listed, pa.array([None if x else r.tobytes() for x, r in zip(none, low, strict=True)], pa.binary())],
+                    names=["row", "doc_id", "same_1", "same_2", "keys", "registers"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SKETCH)
+    return rows.select("row", "doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def _places(nodes: np.ndarray) -> list[np.ndarray]:
-    """Bits of a node in the filter."""
-    return [(mix64(nodes.astype(np.int64).view(np.uint64), seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for seed in (31, 32)]
+def _places(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of a node in a filter of that many bits."""
+    return [(mix64(nodes.astype(np.int64).view(np.uint64), seed) & np.uint64(bits - 1)).astype(np.int64) for seed in (31, 32)]
 
 
-def node_filter(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits, whatever the number of nodes: bits are joined on the executors, so
-    the driver gets its words alone. Where it fills up it lets more through, never less."""
+def node_filter(wanted: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of `size` bits: they are joined on the executors, so the driver gets its words alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits = np.zeros(size // 64, np.uint64)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False)):
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), size):
                 np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         word = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits[word].view(np.int64))], names=["word", "bits"])
 
     rows = wanted.select("node").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def multisets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text -> node, shingles (packed) of the wanted nodes, and of a few others that the filter lets through.
+def multisets(rows: DataFrame, wanted: DataFrame, most: int = FILTER_MOST) -> DataFrame:
+    """row, text -> node, shingles (packed) of the wanted nodes, and of a few others that a filter lets through; a node comes
+    once from each task that holds rows of it.
 
-    Texts are not shuffled: each task keeps those of its own that the filter knows.
+    Texts are not shuffled: each task keeps those of its own that the filter knows, up to a filter of `most` bits.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(node_filter(wanted))  # FILTER_BITS bits
+    wanted = scratch(wanted.select("node"), "wanted", narrow=True)
+    size = 1 << max(20, (FILTER_EACH * wanted.count() - 1).bit_length())
+    if size > most:
+        shared, size = None, 64
+        rows = rows.join(wanted.withColumnRenamed("node", "row"), "row", "left_semi")
+    else:
+        shared = rows.sparkSession.sparkContext.broadcast(node_filter(wanted, size))  # `most` bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        seen = np.zeros(0, np.int64)  # of the wanted nodes that this task holds
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             known = np.ones(len(nodes), bool)
-            for at in _places(nodes):
-                known &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            if shared is not None:
+                bits = shared.value
+                for at in _places(nodes, size):
+                    known &= (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            first = np.zeros(len(nodes), bool)
+            first[np.unique(nodes, return_index=True)[1]] = True
+            known &= first & ~np.isin(nodes, seen)
+            seen = np.append(seen, nodes[known])
             batch = batch.filter(pa.array(known))
             for a, b, words in _text_slices(batch.column(1)):
                 doc, hashes, counts = weighted(*shingles(words, words.hashes(), WIDTH))
@@ -221,7 +243,7 @@ def multisets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 made = pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(made, pa.binary())], names=["node", "shingles"])
                 yield made.filter(made.column(1).is_valid())
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return rows.select("row", "text").mapInArrow(run, "node long, shingles binary")
 
 
 # ---------------------------------------------------------------- links
@@ -273,20 +295,40 @@ class _Forest:
         self.up[max(x, y)] = min(x, y)
 
 
-def _search(rows: pa.Table) -> pa.Table:
-    """One block of a bucket against another (or itself): links between labels that connect something."""
+def _compared(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """One block of a bucket against another (or itself): each row, its promising partners of other labels, and their agreement;
+    a pair counts in the first bucket that it shares."""
     side = rows.column("side").to_numpy()
     label = rows.column("label").to_numpy()
     low = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    shingled = rows.column("shingles")
+    keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    own = rows.column("key")[0].as_py() if rows.num_rows else 0
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    found = []
     for i in left:
         others = right[(label[right] != label[i]) & ((side[right] == 1) | (right > i))]
         if len(others):
+            same = keys[others] == keys[i]
+            others = others[keys[i][same.argmax(axis=1)] == own]
             score = (low[others] == low[i]).mean(axis=1)
-            good = score >= DOUBT
-            found += zip(score[good].tolist(), [int(i)] * int(good.sum()), others[good].tolist(), strict=True)
+            yield int(i), others[score >= DOUBT], score[score >= DOUBT]
+
+
+def _promising(rows: pa.Table) -> pa.Table:
+    """The rows that take part in a promising pair."""
+    part = np.zeros(rows.num_rows, bool)
+    for i, others, _ in _compared(rows):
+        part[others] = True
+        part[i] |= len(others) > 0
+    return rows.select(["key", "i", "j", "side", "node", "label"]).filter(pa.array(part))
+
+
+def _search(rows: pa.Table) -> pa.Table:
+    """The promising pairs, best first: links between labels that connect something."""
+    label = rows.column("label").to_numpy()
+    shingled = rows.column("shingles")
+    found = []
+    for i, others, score in _compared(rows):
+        found += zip(score.tolist(), [i] * len(others), others.tolist(), strict=True)
     forest, out, opened = _Forest(), [], {}
     for _, i, j in sorted(found, reverse=True):
         x, y = int(label[i]), int(label[j])
@@ -301,44 +343,48 @@ def _search(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least id of the class): one row for each row of `docs`."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    sketched = scratch(sketches(docs), "sketches")
+def _named_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, root (node that stands for the class; null without a word), class_id: one row for each row of `docs`."""
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").select(row_name(), "doc_id", "text")
+    sketched = scratch(sketches(rows), "sketches")
     worded = sketched.filter("keys IS NOT NULL")
-    # equal words: one node, named by its least id (of all-null ids: by a negative hash)
+    same = ["same_1", "same_2"]
+    # equal words: one node, named by its least row
     copies = scratch(
-        worded.groupBy("same_1", "same_2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-        .filter("n > 1 OR first IS NULL")
-        .select("same_1", "same_2", F.coalesce("first", F.expr("-1 - shiftrightunsigned(same_1, 1)")).alias("node")),
+        worded.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("node"), F.min("doc_id").alias("first")).filter("n > 1").drop("n"),
         "copies",
         narrow=True,
     )
-    noded = worded.join(copies, ["same_1", "same_2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    members = scratch(noded.select("doc_id", "node"), "members")
-    nodes = scratch(noded.filter("doc_id = node OR doc_id IS NULL").select("node", "keys", "registers").dropDuplicates(["node"]), "nodes")
-
-    # buckets of two or more, and the hub of each: the member that meets the most
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    full = scratch(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members = scratch(
+        worded.select("row", "doc_id", *same)
+        .join(copies, same, "left")
+        .select("row", "doc_id", F.coalesce("node", "row").alias("node"), F.coalesce("first", "doc_id").alias("first")),
+        "members",
+    )
+    wide = ["node", "first", "keys", "registers"]
+    single = worded.join(copies, same, "left_anti").withColumn("node", F.col("row")).withColumn("first", F.col("doc_id")).select(wide)
+    several = worded.join(copies.withColumn("row", F.col("node")), [*same, "row"]).select(wide).dropDuplicates(["node"])
+    nodes = scratch(single.union(several), "nodes")
+
+    # buckets of two or more, and the hub of each: the member that meets the most. One exchange serves the count and the join.
+    keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = scratch(keyed.join(full, "key").select("key", "node", "n"), "met")
     degree = scratch(met.groupBy("node").agg(F.sum("n").alias("degree")), "degree", narrow=True)
     ranked = met.join(degree, "node").select("key", "node", "degree")
-    hubs = scratch(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"))).alias("hub")).select("key", (-F.col("hub.less")).alias("hub")), "hubs", narrow=True)
+    hubs = scratch(ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs", narrow=True)
     pairs = met.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    registers = nodes.select("node", "registers").join(degree.select("node"), "node", "left_semi")
-    registers = scratch(registers, "registers")
+    registers = scratch(nodes.select("node", "keys", "registers").join(degree.select("node"), "node", "left_semi"), "registers")
     likely = scratch(_agreeing(pairs, registers), "likely")
 
-    texts = docs.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
-
     def shingled(wanted: DataFrame, name: str) -> DataFrame:
-        return scratch(multisets(texts, wanted), name)
+        made = scratch(multisets(rows, wanted), name)
+        # repeated rows of a node come from several tasks
+        many, distinct = made.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+        return made if many == distinct else scratch(made.dropDuplicates(["node"]), name)
 
     wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    links = _verified(likely, shingled(wanted, "shingles"))
-    roots = components(links)
+    roots = components(_verified(likely, shingled(wanted, "shingles")))
 
     # buckets that still hold several components, searched in full
     labelled = scratch(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")), "labelled")
@@ -347,9 +393,9 @@ def classes(docs: DataFrame) -> DataFrame:
         "mixed",
         narrow=True,
     )
-    open_rows = scratch(labelled.join(mixed, "key").select("key", "node", "label", "n"), "open")
     spread = (
-        open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        labelled.join(mixed, "key")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
@@ -361,64 +407,47 @@ def classes(docs: DataFrame) -> DataFrame:
             F.expr("CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END").alias("side"),
         )
     )
-    details = registers.join(shingled(open_rows.select("node").distinct(), "open_shingles"), "node")
-    more = (
-        spread.join(details, "node")
-        .select("key", "i", "j", "side", "label", "registers", "shingles")
-        .groupBy("key", "i", "j")
-        .applyInArrow(_search, "a long, b long")
-    )
+    columns = ["key", "i", "j", "side", "node", "label", "keys", "registers"]
+    part = "key long, i int, j int, side int, node long, label long"
+    promising = scratch(spread.join(registers, "node").select(columns).groupBy("key", "i", "j").applyInArrow(_promising, part), "promising")
+    details = registers.join(shingled(promising.select("node").distinct(), "open_shingles"), "node")
+    more = promising.join(details, "node").select(*columns, "shingles").groupBy("key", "i", "j").applyInArrow(_search, "a long, b long")
     merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = scratch(roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
+    linked = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
         merged.join(roots, merged["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    ), "roots", narrow=True)
-    named = members.join(final, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
-    named = named.withColumn("class_id", F.when(F.col("doc_id").isNull() & (F.col("class_id") < 0), F.lit(None)).otherwise(F.col("class_id")))
-    alone = sketched.filter("keys IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    )
+    linked = scratch(linked.join(nodes.select("node", "first"), "node"), "linked", narrow=True)
+    least = linked.groupBy("root").agg(F.min("first").alias("class_id"))
+    final = scratch(linked.join(least, "root").select("node", "root", "class_id"), "roots", narrow=True)
+    named = members.join(final, "node", "left").select(
+        "row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first").alias("class_id")
+    )
+    alone = sketched.filter("keys IS NULL").select("row", "doc_id", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"))
     return named.union(alone)
 
 
-def _bits(column: str) -> list:
-    """Bits of an id in the filter of `deduplicate`."""
-    return [F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(KEEP_BITS)) for seed in (41, 42)]
-
-
-def _hit(frame: DataFrame, table: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Adds `hit_`: whether the filter knows the id (false for null)."""
-    out = frame
-    for k, bit in enumerate(_bits(column)):
-        # a table of KEEP_BITS / 64 rows at most
-        side = F.broadcast(table.select(F.col("word").alias(f"word_{k}"), F.col("bits").alias(f"bits_{k}")))
-        out = out.withColumn(f"bit_{k}", bit).withColumn(f"word_{k}", F.shiftright(f"bit_{k}", 6)).join(side, f"word_{k}", "left")
-    known = F.lit(True)
-    for k in range(2):
-        known = known & (F.expr(f"coalesce(bits_{k}, 0L) & shiftleft(1L, cast(bit_{k} % 64 AS int))") != 0)
-    return out.withColumn("hit_", known & F.col(column).isNotNull()).select(*frame.columns, "hit_")
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least id of the class): one row for each row of `docs`."""
+    return _named_rows(docs).select("doc_id", "class_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """All columns of one row for each class: the one of its least id. Rows without an id or a word stay.
+def deduplicate(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """All columns of one row for each class: the one of its least id (a class without ids: the one of least name). Rows without a
+    word stay.
 
-    Texts stay where they are: a filter of fixed size holds the ids that go and those that several rows have. What it
-    doesn't know stays; what it does know stays only if its id is among the ids to keep that the filter knows
-    too, a set that is computed from ids alone.
+    Texts stay where they are as long as there are no more than `most` names of rows that go.
     """
-    named = scratch(classes(docs), "classes").filter("doc_id IS NOT NULL")
-    firsts = named.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    firsts = scratch(firsts, "firsts", narrow=True)
-    special = named.filter("doc_id <> class_id").select("doc_id").union(firsts.filter("n > 1").select("doc_id"))
-    table = scratch(
-        special.select(F.explode(F.array(*_bits("doc_id"))).alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")),
-        "filter",
-        narrow=True,
-    )
-    again = scratch(_hit(firsts, table).filter("hit_").select("doc_id", "n"), "again", narrow=True)
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
-    marked = _hit(rows, table)
-    hits = marked.filter("hit_").drop("hit_")
-    one = hits.join(again.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = hits.join(again.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    kept = marked.filter("NOT hit_").select("row").union(one.select("row")).union(several.select("row"))
-    return kept.select("row.*")
+    named = scratch(_named_rows(docs).filter("root IS NOT NULL").select("row", "doc_id", "root"), "classes")
+    names = named.groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    keepers = scratch(named.groupBy("root").agg(F.min(first)["row"].alias("row")), "keepers", narrow=True)
+    again = scratch(names.filter("n > 1").select("row").join(keepers, "row", "left_semi"), "again", narrow=True)
+    gone = names.select("row").join(keepers.select("row"), "row", "left_anti")
+    special = scratch(gone.union(again), "gone", narrow=True)
+    few = special.count() <= most
+    hint = F.broadcast if few else (lambda frame: frame)
+    rows = docs.select(row_name(), F.struct(*docs.columns).alias("whole"))
+    kept = rows.join(hint(special), "row", "left_anti").select("whole")
+    if again.count():  # of rows alike in id and text one stays
+        kept = kept.union(rows.join(hint(again), "row", "left_semi").dropDuplicates(["row"]).select("whole"))
+    return kept.select("whole.*")

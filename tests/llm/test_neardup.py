@@ -118,8 +118,38 @@ def test_odd_rows(spark, frame):
     got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(frame(rows)).collect()), key=str)
     assert got == sorted([(7, 3), (7, 3), (3, 3), (None, 3), (None, None), (None, None), (8, 8)], key=str)
     assert neardup.classes(frame([])).collect() == []
-    kept = sorted(str(r["doc_id"]) for r in neardup.deduplicate(frame([(1, text), (1, text), (2, text), (None, text), (5, "")])).collect())
-    assert kept == ["1", "5", "None"]
+    kept = neardup.deduplicate(frame([(1, text), (1, text), (2, text), (None, text), (5, ""), (None, "x y"), (None, "x y")])).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "5", "None"]
+
+
+def test_repeated_and_null_ids(spark, frame):
+    """Each text of a repeated id keeps its own links; rows without an id are compared like others."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a + " more"), (5, a), (5, b), (9, b + " more"), (None, a + " other"), (None, c), (None, c + " more")]
+    docs = frame(rows).repartition(3)
+    texts = {t: d for d, t in rows}
+    found = neardup._named_rows(docs).join(docs.select(neardup.row_name(), "text"), "row").collect()
+    roots = {r["text"]: r["root"] for r in found}
+    by_root = {}
+    for text, root in roots.items():
+        by_root.setdefault(root, set()).add(text)
+    assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, ({a, a + " more", a + " other"}, {b, b + " more"}, {c, c + " more"})))
+    got = sorted(((r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()), key=str)
+    assert got == sorted([(3, 3), (5, 3), (5, 5), (9, 5), (None, 3), (None, None), (None, None)], key=str)
+    # shuffled; the other tests broadcast
+    kept = {r["text"] for r in neardup.deduplicate(docs, 0).collect()}
+    assert len(kept) == 3 and {a + " more", b} <= kept and kept & {c, c + " more"}
+    assert texts[a] == 5
+
+
+def test_filter_or_join(spark, frame):
+    """Texts to verify are the same through the filter and through the join that stands in for a large one."""
+    rows = frame([(k % 40, f"w{k % 40} " * 3 + "tail") for k in range(200)]).select(neardup.row_name(), "text").repartition(5)
+    wanted = rows.select(rows["row"].alias("node")).distinct().orderBy("node").limit(20)
+    nodes = {r["node"] for r in wanted.collect()}
+    read = lambda most: {r["node"]: bytes(r["shingles"]) for r in neardup.multisets(rows, wanted, most).collect() if r["node"] in nodes}
+    found = read(neardup.FILTER_MOST)
+    assert found == read(0) and found.keys() == nodes
 
 
 def test_full_search_of_a_bucket():
@@ -131,11 +161,18 @@ def test_full_search_of_a_bucket():
     sets = [sorted(set(base[k * 5 :]) | {10**6 + k * 7 + j for j in range(k * 5)}) for k in range(9)]
     docs = [mix64(np.array(s, np.uint64)) for s in sets]
     doc = np.repeat(np.arange(9), [len(d) for d in docs])
-    registers = (neardup.prob_min_hash(doc, np.concatenate(docs), np.ones(len(doc)), 9) & np.uint64(255)).astype(np.uint8)
+    winners = neardup.prob_min_hash(doc, np.concatenate(docs), np.ones(len(doc)), 9)
+    registers, keys = (winners & np.uint64(255)).astype(np.uint8), neardup.band_keys(winners).view(np.int64)
+    keys[:, 0] = 77  # the bucket that all share
     table = pa.table(
         {
             "side": pa.array([2] * 9, pa.int32()),
             "label": pa.array(range(9), pa.int64()),
+            "node": pa.array(range(9), pa.int64()),
+            "key": pa.array([77] * 9, pa.int64()),
+            "i": pa.array([0] * 9, pa.int32()),
+            "j": pa.array([0] * 9, pa.int32()),
+            "keys": pa.array(list(keys), pa.list_(pa.int64())),
             "registers": [x.tobytes() for x in registers],
             "shingles": [neardup._pack_shingles(d, np.ones(len(d), int)) for d in docs],
         }
@@ -155,9 +192,47 @@ def test_full_search_of_a_bucket():
         up[max(root(i), root(j))] = min(root(i), root(j))
     assert all(root(i) == root(j) for i, j in pairs)
     assert r
+    assert {x for p in pairs for x in p} <= set(neardup._promising(table)["node"].to_pylist())
+    assert neardup._search(table.set_column(3, "key", pa.array([78] * 9, pa.int64()))).num_rows == 0  # found in an earlier bucket
 
 
 def test_documents(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()} == brute(rows)
+
+
+def test_recall(spark):
+    """Every pair at 0.8 or more among the thousand documents is linked, and nothing else is."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    nodes = {}
+    for doc_id, text in rows:
+        nodes.setdefault(tuple(text.split()), []).append(doc_id)
+    sets = [multiset(" ".join(words)) for words in nodes]
+    holders = {}
+    for k, found in enumerate(sets):
+        for x in found:
+            holders.setdefault(x, []).append(k)
+    near = Counter()
+    for held in holders.values():
+        near.update((i, j) for n, i in enumerate(held) for j in held[:n])
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    likeness, hashes = [], [hashed(x) for x in sets]  # `exact` takes the square of a text's size
+    for (i, j), common in near.items():
+        if common >= 0.2 * max(len(sets[i]), len(sets[j])):
+            likeness.append((neardup.probability_jaccard(*hashes[i], *hashes[j]), i, j))
+            if likeness[-1][0] >= 0.8:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for k, ids in enumerate(nodes.values()):
+        least[root(k)] = min(least.get(root(k), ids[0]), *ids)
+    wanted = {doc_id: least[root(k)] if words else doc_id for k, (words, ids) in enumerate(nodes.items()) for doc_id in ids}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()} == wanted
+    assert sum(x >= 0.8 for x, _, _ in likeness) >= 4
