@@ -160,7 +160,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, null as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    return _buffers(pc.fill_null(column.cast(pa.large_string()), ""))
+
+
+def binary_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column without nulls."""
+    return _buffers(column.cast(pa.large_binary()))
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, where, what = column.buffers()

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 from granary.llm import classifier, classlm
-from granary.llm.common import documents, table
+from granary.llm.common import documents, held_out, span_hashes, table
 
 DATA = "/root/testdata/sf0.01"
 
@@ -113,19 +114,97 @@ def test_language_model_odd_rows(spark, frame):
     assert (only["train_tokens"], only["n_known"], only["base_score"]) == (0, 0, 0.0)
 
 
-def test_model_is_a_distribution(spark, frame):
-    rows = [(k, " ".join(["the", "cat", "sat", "on", f"w{k}", "mat."][: 1 + k % 6])) for k in range(60)]
-    model, counts = classlm.fit(frame(rows), 5, 1, units=4, classes=3)
+def brute_model(rows, units, classes):
+    """The whole model in plain Python but for the exchange of the units: log10 probability of each text."""
+    keep = [tokens(t) for d, t in rows if d is None or crc(d, 5) != 1]
+    counts = Counter(w for t in keep for w in t)
+
+    def hashed(word):
+        if word is None:
+            return int(classlm.END)
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    def shape(w):
+        if w is None:
+            return "end"
+        raw = w.encode()
+        last = "aeiouy".find(chr(raw[-1])) >= 0 if raw[-1] < 128 else None
+        kind = "high" if raw[-1] >= 128 else "vowel" if last else "sign" if not chr(raw[-1]).isalnum() and 33 <= raw[-1] < 127 else "other"
+        return (len(raw) > 4) + (len(raw) > 9), kind, any(48 <= x < 58 for x in raw), any(x >= 128 for x in raw)
+
+    signed = lambda w: hashed(w) - (1 << 64) * (hashed(w) >> 63)
+    frequent = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], signed(w)))[:units]
+    unit = lambda w: ("word", w) if w in frequent else ("shape", shape(w))
+    # places of units as the library numbers them
+    place = {("word", w): k for k, w in enumerate(sorted(frequent, key=hashed))}
+    vowel = {"other": 0, "vowel": 1, "sign": 2, "high": 3}
+    number = lambda u: place[u] if u[0] == "word" else len(frequent) + (classlm.SHAPES - 1 if u[1] == "end" else u[1][0] * 16 + vowel[u[1][1]] * 4 + u[1][2] * 2 + u[1][3])
+    pairs = np.zeros((len(frequent) + classlm.SHAPES,) * 2)
+    for t in keep:
+        for x, y in zip([None, *t], t):
+            pairs[number(unit(x)), number(unit(y))] += 1
+    of = classlm.exchange(pairs, classes)
+    k = of.max() + 1
+    table = np.zeros((k, k))
+    for x, y in zip(*np.nonzero(pairs)):
+        table[of[x], of[y]] += pairs[x, y]
+    delta = classlm.DELTA
+    first = np.log10((table + delta) / (table.sum(1, keepdims=True) + delta * k))
+    group = {}
+    for w in counts:
+        if w in frequent or w is None:
+            group[w] = of[number(unit(w))]
+            continue
+        before, after = Counter(), Counter()
+        for t in keep:
+            for x, y, z in zip([None, *t], t, [*t[1:], None]):
+                if y == w:
+                    before[of[number(unit(x))]] += 1
+                    after[of[number(unit(z))]] += 1
+        value = lambda c: sum(n * first[b, c] for b, n in before.items()) + sum(n * first[c, a] for a, n in after.items()) - counts[w] * math.log10(table[:, c].sum() + counts[w])  # noqa: B023, E731
+        group[w] = max(range(k), key=lambda c: (round(value(c), 9), -c))  # noqa: B023
+    moved, total, types = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in keep:
+        for x, y in zip([None, *t], t):
+            moved[group[x], group[y]] += 1
+    for w, n in counts.items():
+        total[group[w]] += n
+        types[group[w]] += 1
+    final = np.log10((moved + delta) / (moved.sum(1, keepdims=True) + delta * k))
+    of_any = lambda w: group.get(w, of[number(unit(w))])
+    out = []
+    for _, text in rows:
+        t = tokens(text)
+        out.append(sum(final[of_any(x), of_any(y)] + math.log10((counts[y] + 0.5) / (total[of_any(y)] + 0.5 * (types[of_any(y)] + 1))) for x, y in zip([None, *t], t)))
+    return out, final, group
+
+
+def test_score_by_definition(spark, frame):
+    r = random.Random(8)
+    nouns, verbs, rest = [f"noun{k}" for k in range(12)], [f"verb{k}s" for k in range(8)], ["the", "A", "é", "x1", "on.", "MIT"]
+    rows = [(k, " ".join(w for _ in range(r.randrange(0, 9)) for w in (r.choice(rest), r.choice(nouns), r.choice(verbs)))) for k in range(70)]
+    rows += [(None, "the noun1"), (200, None), (201, "never-seen words ÀB"), (202, "the noun1 verb1s " * 700), (7, "the noun2"), (7, "the noun2")]
+    docs = frame(rows).selectExpr("cast(doc_id as long) doc_id", "text").repartition(3)
+    core, table = classlm.fit(docs, 5, 1, units=9, classes=4)
+    texts = classlm.coded(docs, core, table)
+    model = classlm.complete(core, table, texts.filter(held_out("doc_id", 5, 1) == False))  # noqa: E712
+    wanted, transition, group = brute_model(rows, 9, 4)
+    assert model.transition == pytest.approx(transition)
     assert np.power(10.0, model.transition).sum(axis=1) == pytest.approx(1)
-    # each class: its known tokens and one unseen token share all of its mass
-    size = len(model.units.hashes)
-    mass = np.full(int(model.of.max()) + 1, 0.5)
-    for r in counts.collect():
-        unit = int(model.units.of(np.array([r["token"]], np.int64).view(np.uint64), np.array([r["shape"]]))[0])
-        mass[model.of[unit]] += r["n"] + 0.5
-    assert size == 4
-    used = np.unique(model.of)
-    assert np.log10(mass[used]) == pytest.approx(model.emission[used])
+    got = sorted((str(x["doc_id"]), x["score"]) for x in classlm.score(texts, model).collect())
+    for (a, x), (b, y) in zip(got, sorted((str(d), w) for (d, _), w in zip(rows, wanted)), strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-6)
+    # every training word that is no unit has a class of its own bigrams' choice
+    assert table.count() == sum(w is not None for w in group) - 9
+
+
+def test_one_shuffle_of_texts(spark, frame):
+    docs = frame([(k, "a b c") for k in range(20)]).selectExpr("doc_id", "text")
+    core, table = classlm.fit(docs, 5, 1, units=1)
+    found = classlm.coded(docs, core, table)
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().treeString()
 
 
 def information(pairs, of):
@@ -142,10 +221,10 @@ def test_exchange_reaches_a_local_optimum():
     pairs = r.poisson(1.0, (14, 14)).astype(float)
     pairs[:7, 7:] += 20  # two kinds of units that follow each other
     pairs[7:, :7] += 20
-    of = classlm.exchange(pairs, classes=2, rounds=20)
+    of = classlm.exchange(pairs, classes=2)
     assert len(set(of[:7])) == 1 and len(set(of[7:])) == 1 and of[0] != of[7]
     pairs = r.poisson(2.0, (12, 12)).astype(float)
-    of = classlm.exchange(pairs, classes=3, rounds=50)
+    of = classlm.exchange(pairs, classes=3)
     best = information(pairs, of)
     for w in range(12):
         for k in range(3):
