@@ -7,9 +7,10 @@ A token that doesn't fit gives way to the next shorter one, and where none is le
 Places that turned out to be dead ends are remembered, so each is tried once: time is linear in the piece. The
 result is what merging by rank gives, for any vocabulary in which each merge makes a token of its own.
 
-Texts are handled word by word (pieces never span white space) with a bounded cache per Python worker. Texts with
-characters beyond Latin letters, or with special tokens, take the same encoder behind the normalizer and
-pre-tokenizer that the vocabulary file itself names.
+Where the vocabulary's normalizer and pre-tokenizer are the ones whose pieces never span white space (`WORDS`), texts of any
+script are handled word by word, with a cache per Python worker that is bounded in bytes: a word that is new goes through the file's
+own normalizer and pre-tokenizer, and its pieces through the encoder. With any other normalizer or pre-tokenizer these two see
+whole texts, and the pieces are cached.
 
 Defined cases: null text is the empty text, with no id; null or repeated ids are kept, one row each; an empty
 table gives an empty result; extra columns are ignored. Whole texts are taken.
@@ -26,19 +27,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
 from granary.llm.common import SLICE_BYTES, slices, text_buffers
 
-#: Words, and pieces of words, that each generation of a Python worker's cache keeps: about 200 bytes each. A
+#: Entries that each generation of a Python worker's caches of words and of pieces keeps, at ENTRY bytes on average. A
 #: worker that serves other operators too does with fewer (`cache` of `encode`).
-CACHE = 300_000
+CACHE, ENTRY = 300_000, 200
 #: Texts of these characters alone are lowered and split here; all are composed (NFC) and lower to one character.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ]*")
-#: Fixed value: the pattern of the vocabulary's pre-tokenizer.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed value: the pattern of a pre-tokenizer that drops white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normalizer and pre-tokenizer of vocabularies whose texts may be handled word by word.
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 def default_vocabulary() -> str:
@@ -57,7 +68,8 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merges and tables of a byte-level BPE file with an end-of-word suffix."""
+    """Tokens, merges and tables of a byte-level BPE file, with or without an end-of-word suffix. Decoding joins tokens by a space
+    (a file without decoder) or joins their bytes (one with the byte-level decoder)."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -66,6 +78,11 @@ class Vocabulary:
         model = spec["model"]
         ids: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
+        decoder = spec.get("decoder")
+        if decoder is not None and decoder["type"] != "ByteLevel":
+            raise ValueError(f"decoder {decoder['type']} is unknown")
+        self.spaced = decoder is None
+        self.by_words = (spec.get("normalizer"), spec.get("pre_tokenizer")) == WORDS
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.size = max([*ids.values(), *self.special.values()]) + 1
@@ -122,7 +139,11 @@ class Vocabulary:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
         letters = self.letters
-        text = "".join([letters[x] for x in piece.encode()]) + self.mark
+        return self.encode_letters("".join([letters[x] for x in piece.encode()]))
+
+    def encode_letters(self, piece: str) -> list[int]:
+        """Ids of one pre-token, given as the letters of its bytes."""
+        text = piece + self.mark
         n = len(text)
         if n == len(self.mark):
             return []
@@ -158,9 +179,13 @@ class Vocabulary:
         return [token for token, _ in path]
 
     def table(self, what: str) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets) of each id's string followed by a space: its name, or its decimal digits."""
+        """(bytes, offsets) of each id's string: its decimal digits and a space, or its name (and a space, or as the bytes it stands for)."""
         if what not in self._offsets:
-            rows = [f"{self.names[k] if what == 'name' else k} ".encode() for k in range(self.size)]
+            if what == "name" and not self.spaced:
+                back = {c: x for x, c in enumerate(self.letters)}
+                rows = [bytes([back[c] for c in n]) if all(c in back for c in n) else n.encode() for n in self.names]
+            else:
+                rows = [f"{self.names[k] if what == 'name' else k} ".encode() for k in range(self.size)]
             data = np.frombuffer(b"".join(rows), np.uint8)
             self._offsets[what] = data, np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         return self._offsets[what]
@@ -175,9 +200,13 @@ class Vocabulary:
         where += np.repeat(begin - (ends - length), length)
         return data[where], ends
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The decoded text in UTF-8, through the offset table."""
+        data = bytes(self.spelled(np.asarray(ids, np.int64), "name")[0])
+        return data[:-1] if self.spaced else data.decode("utf-8", "replace").encode()
+
     def decode(self, ids: np.ndarray) -> str:
-        """What a decoder without rules gives: the tokens' strings with a space between them."""
-        return bytes(self.spelled(np.asarray(ids, np.int64), "name")[0][:-1]).decode()
+        return self.decoded(ids).decode()
 
 
 @lru_cache(maxsize=2)
@@ -193,26 +222,30 @@ class _Cache(dict):
 
     def __init__(self, most: int) -> None:
         super().__init__()
-        self.most = most
-        self.old: dict[str, bytes] = {}
-        self.todo: dict[str, None] = {}
+        self.most, self.size = most * ENTRY, 0
+        self.old: dict = {}
+        self.todo: dict = {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str | bytes) -> bytes:
         value = self.old.get(key)
         if value is None:
             self.todo[key] = None
             return b""
-        self[key] = value
+        self.put(key, value)
         return value
 
+    def put(self, key: str | bytes, value: bytes) -> None:
+        self[key] = value
+        self.size += len(key) + len(value) + 150
+
     def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, by cached words; pieces are encoded by backtracking or by the library."""
+    """Ids of texts as little-endian 32-bit bytes, by cached words and pieces; pieces are encoded by backtracking or by the library."""
 
     def __init__(self, path: str, backtrack: bool = True, cache: int | None = None):
         import os
@@ -225,63 +258,56 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.vocabulary = vocabulary(path)
-        self.words, self.pieces = _Cache(cache or CACHE), _Cache(cache or CACHE)
-
-    def _encode_piece(self, piece: str) -> bytes:
-        if self.backtrack:
-            ids = self.vocabulary.encode_piece(piece)
-        else:
-            shown = piece if piece.isascii() else "".join([self.vocabulary.letters[x] for x in piece.encode()])
-            ids = [t.id for t in self.library.model.tokenize(shown)]
-        return array("I", ids).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the words into the cache."""
-        pieces, known = self.pieces, self.words
-        for w in words:
-            parts = _PIECES.findall(w)
-            coded = b"".join([pieces[p] for p in parts])
-            if pieces.todo:
-                for p in pieces.todo:
-                    pieces[p] = self._encode_piece(p)
-                pieces.todo.clear()
-                coded = b"".join([pieces[p] for p in parts])
-            known[w] = coded
-
-    def _odd(self, text: str) -> bytes:
-        """A text beyond the plain characters, or one with special tokens."""
-        if not self.backtrack:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        special = self.vocabulary.special
-        for part in self.vocabulary.split_special.split(text) if special else [text]:
-            if part in special:
-                out.append(np.array([special[part]], "<u4").tobytes())
-                continue
-            lowered = self.library.normalizer.normalize_str(part)
-            back = {c: x for x, c in enumerate(self.vocabulary.letters)}
-            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(lowered):
-                out.append(np.array(self.vocabulary.encode_piece(bytes(back[c] for c in piece).decode()), "<u4").tobytes())
-        return b"".join(out)
+        most = cache or CACHE
+        # words of plain texts (lower case), words of other texts (UTF-8, as they stand), pieces (letters of their bytes)
+        self.words, self.raw, self.pieces = _Cache(most), _Cache(most), _Cache(most)
+
+    def _pieces(self, text: str) -> bytes:
+        """Through the file's own normalizer and pre-tokenizer."""
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        cache = self.pieces
+        found = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        coded = b"".join([cache[p] for p in found])
+        if cache.todo:
+            for p in cache.todo:
+                ids = self.vocabulary.encode_letters(p) if self.backtrack else [t.id for t in self.library.model.tokenize(p)]
+                cache.put(p, array("I", ids).tobytes())
+            cache.todo.clear()
+            coded = b"".join([cache[p] for p in found])
+        return coded
+
+    def _cached(self, cache: _Cache, words: list) -> bytes:
+        get = cache.__getitem__
+        coded = b"".join(map(get, words))
+        if cache.todo:
+            for w in cache.todo:
+                cache.put(w, self._pieces(w if isinstance(w, str) else w.decode()))
+            cache.todo.clear()
+            coded = b"".join(map(get, words))
+        return coded
+
+    def _part(self, text: str) -> bytes:
+        """A text without special tokens."""
+        if not self.vocabulary.by_words:
+            coded = self._pieces(text)
+        elif _PLAIN.fullmatch(text):
+            coded = self._cached(self.words, text.lower().split())
+        else:  # bytes are split at ASCII white space alone; what else counts as white space is up to the normalizer
+            coded = self._cached(self.raw, text.encode().split())
+        for cache in (self.words, self.raw, self.pieces):
+            cache.turn()
+        return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        special = list(self.vocabulary.special)
-        known = self.words
-        get = known.__getitem__
+        special = self.vocabulary.special
         out = []
         for text in texts:
-            if not _PLAIN.fullmatch(text) or any(x in text for x in special):
-                out.append(self._odd(text))
-                continue
-            words = text.lower().split()
-            coded = b"".join(map(get, words))
-            if known.todo:
-                self._learn(list(known.todo))
-                known.todo.clear()
-                coded = b"".join(map(get, words))
-            out.append(coded)
-            known.turn()
-            self.pieces.turn()
+            if any(x in text for x in special):
+                parts = self.vocabulary.split_special.split(text)
+                out.append(b"".join([np.array([special[p]], "<u4").tobytes() if p in special else self._part(p) for p in parts]))
+            else:
+                out.append(self._part(text))
         return out
 
 
@@ -307,14 +333,17 @@ def encode(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] =
         for batch in batches:
             at = batch.num_columns - 1
             words = vocabulary(path)
-            sizes = np.array([len(name) + 1 for name in words.names])
             for a, b, texts in text_slices(batch.column(at)):
                 coded = encoder(path, True, cache).encode(texts)
                 flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
                 counts = np.array([len(x) // 4 for x in coded])
                 offsets = np.concatenate([[0], np.cumsum(counts)])
-                chars = np.append(0, np.cumsum(sizes[flat]))
-                decoded = chars[offsets[1:]] - chars[offsets[:-1]] - (counts > 0)
+                if words.spaced:  # all texts at once: code points of the decoded bytes, but for the last space
+                    data, ends = words.spelled(flat.astype(np.int64), "name")
+                    chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))[np.append(0, ends)]
+                    decoded = chars[offsets[1:]] - chars[offsets[:-1]] - (counts > 0)
+                else:
+                    decoded = np.array([len(words.decode(flat[i:j])) for i, j in zip(offsets[:-1], offsets[1:], strict=True)], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k)[a:b] for k in range(at)]
                     + [pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(flat)), pa.array(decoded, pa.int64())],
@@ -344,7 +373,10 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                         part = ids[k : k + step]
                         cut = -1 if k + step >= len(ids) else None
                         decimal.update(words.spelled(part, "digits")[0][:cut])
-                        decoded.update(words.spelled(part, "name")[0][:cut])
+                        if words.spaced:
+                            decoded.update(words.spelled(part, "name")[0][:cut])
+                    if not words.spaced:
+                        decoded.update(words.decoded(ids))
                     rows.append((len(ids), decimal.hexdigest(), decoded.hexdigest()))
                 n, decimals, names = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(

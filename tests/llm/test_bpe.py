@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -47,16 +48,62 @@ def test_any_text(text):
     assert np.frombuffer(OURS.encode([text])[0], "<u4").tolist() == wanted(text)
 
 
+SCRIPTS = [
+    "“Curly quotes” — and dashes… it’s", "Съешь ещё этих мягких французских булок, да выпей чаю.", "日本語のテキスト 漢字 かな交じり", "עברית ועוד",
+    "e\u0301 H\u0331 h\u0331 A\u030a \u212b", "a\u2003b\u3000c\u2028d\u0085e\x1cf", "क्षत्रिय हिन्दी में", "ΣΑΣ ΟΔΟΣ",
+]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_scripts_and_vocabularies(name):
+    """Any script, and a vocabulary with another normalizer, pre-tokenizer and decoder."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    for tool in (bpe.Encoder(path), bpe.Encoder(path, backtrack=False)):
+        for text in [*ODD, *SCRIPTS, " ".join(SCRIPTS * 3), "  two  spaces\n\nlines \t"]:
+            ids = library.encode(text, add_special_tokens=False).ids
+            for _ in range(2):  # cold and cached
+                assert np.frombuffer(tool.encode([text])[0], "<u4").tolist() == ids
+            assert tool.vocabulary.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aAhHİıΣσ\u0301\u030a\u0331\u0085\xa0\u2003 \x1c\x1f\u200bжЖ漢’“1٣²."), max_size=25))
+def test_marks_and_spaces(text):
+    assert np.frombuffer(OURS.encode([text])[0], "<u4").tolist() == wanted(text)
+
+
+def test_other_scripts_keep_pace():
+    """Texts with curly quotes or of another script take no more than a few times as long as plain ones."""
+    r = random.Random(3)
+    made = lambda letters: [" ".join("".join(r.choices(letters, k=r.randint(2, 5))) for _ in range(400)) for _ in range(60)]
+    plain = made("etaoinsh")
+
+    def seconds(texts):
+        tool = bpe.Encoder(PATH)
+        tool.encode(texts)
+        began = time.perf_counter()
+        for _ in range(5):
+            tool.encode(texts)
+        return time.perf_counter() - began
+
+    base = seconds(plain)
+    assert seconds([t + " it’s “so”" for t in plain]) < 4 * base
+    assert seconds(made("етаоинсх")) < 4 * base
+
+
 def test_cache_turns_over():
     tool = bpe.Encoder(PATH, cache=50)
     r = random.Random(1)
     texts = [" ".join("".join(r.choices("abcdetn", k=r.randint(1, 5))) for _ in range(40)) for _ in range(40)]
     assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(texts)] == [wanted(t) for t in texts]
-    assert len(tool.words) < 200
+    assert len(tool.words) < 200 and tool.words.size <= tool.words.most + 10_000
 
 
 def test_digest_and_encode(spark, frame, by_id):
-    rows = [(k, t) for k, t in enumerate(ODD) if "\x00" not in t] + [(900, None), (None, "null id"), (3, "again")]
+    rows = list(enumerate(ODD + SCRIPTS)) + [(900, None), (None, "null id"), (3, "again")]
     got = bpe.digest(frame(rows))
     assert got.count() == len(rows) and bpe.digest(frame([])).collect() == []
     seen = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got.collect())
