@@ -121,6 +121,18 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Partitions that a shuffle has at most, whatever the input.
+MOST_PARTS = 100_000
+
+
+def parts_for(frame: DataFrame, bytes_each: int = 16 << 20) -> int:
+    """Partitions for a shuffle of the frame's rows: those of the session, or more if its files have more bytes than they would take."""
+    known = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = parts(frame.sparkSession)
+    # a plan without files has no size but a guess beyond all files
+    return max(least, min(MOST_PARTS, known // bytes_each)) if known < 1 << 60 else least
+
+
 #: Groups up to which `even_labels` names each.
 MOST_LABELS = 10_000
 

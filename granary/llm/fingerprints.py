@@ -8,20 +8,22 @@ unlike bins agree by chance with probability 2^-BITS, which `likeness` takes out
 
 The fingerprint is a hex string. Likeness is 0 to 1; of two texts without words it is 1, of one with and
 one without it is 0. Defined cases: null text is the empty text; null ids come last in descending order,
-repeated ids are ordered by text; an empty table gives an empty result; extra columns are ignored.
+repeated and null ids are ordered by a hash of the text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, even_labels, mix64, parts, shingles, slices
+from granary.llm.common import Words, even_labels, mix64, parts_for, shingles, slices
 
 BINS, BITS, WIDTH = 512, 4, 5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,48 +121,87 @@ def _compare(ids: list, texts: list[str], follow: list[str]) -> pa.RecordBatch:
     )
 
 
-#: Rows that share one range of ids, about; bytes of text that are compared at a time.
-RANGE_ROWS, STEP_BYTES = 4_000, 1 << 19
+#: Bytes of text that are compared at a time.
+STEP_BYTES = 1 << 19
+_LAST = (1 << 63) - 1
 
 
-def digest(docs: DataFrame) -> DataFrame:
+class Ranges:
+    """Ranges of rows in the order of (id descending, nulls last; hash of the text), told by the first key of each."""
+
+    def __init__(self, first: list[tuple[int, int]]):
+        self.first = first
+        self.ids = np.array([a for a, _ in first], np.int64)
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(range of each row, whether it has the range's first key); ids as `falling` gives them."""
+        low, high = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        at = high - 1
+        for k in np.flatnonzero(low < high).tolist():  # ids at which ranges begin: the hash decides
+            at[k] = bisect_right(self.first, (int(ids[k]), int(hashes[k]))) - 1
+        at = np.maximum(at, 0)
+        starts = np.array([h for _, h in self.first], np.int64)
+        return at, (self.ids[at] == ids) & (starts[at] == hashes)
+
+
+def falling(column: pa.Array) -> np.ndarray:
+    """Ids so that ascending order is descending order of ids, nulls last."""
+    ids = pc.fill_null(column, 0).to_numpy(zero_copy_only=False)
+    return np.where(pc.is_null(column).to_numpy(zero_copy_only=False), _LAST, ~ids)
+
+
+def digest(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The contract's columns.
 
-    Ids are cut into ranges at approximate quantiles (ids alone are read for that). Each range goes to one task in
-    descending order of id, where every document meets the next; the first document of each range is sent to
-    the range above it as well, to follow its last one. One row for each range is all that the driver sees.
+    Spark's range partitioner deals ids and hashes of texts into ranges, whose first keys (one for each partition) come to the
+    driver. Each range goes to one task in order, where every document meets the next; the first document of each
+    range is sent to the range before it as well, to follow its last one. A key that many rows share is split by the hashes.
     """
-    named = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    ids = named.select("doc_id")
-    rows, = ids.agg(F.count(F.lit(1))).first()
-    if not rows:
-        return docs.sparkSession.createDataFrame([], DIGEST)
-    cuts = min(4096, max(1, rows // RANGE_ROWS, parts(docs.sparkSession)))
-    edges = ids.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)] or [0.5], 100 * cuts)).first()[0]
-    edges = sorted(set(edges or []))
-    # range 0 holds the highest ids; null ids are lowest
-    found = F.array_size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array(F.lit(0)), lambda e: e > F.col("doc_id")))
-    where = F.when(F.col("doc_id").isNull(), F.lit(len(edges) + 1)).otherwise(found if edges else F.lit(0)).cast("int")
-    heads = sorted((r["part"], r["head"]) for r in ids.withColumn("part", where).groupBy("part").agg(F.max("doc_id").alias("head")).collect())
-    # the head of each range follows the range before it; that of the first follows the last
-    before = {part: heads[k - 1][0] for k, (part, _) in enumerate(heads)}
-    cases = F.lit(None).cast("int")
-    head_of = F.create_map(*[F.lit(x) for part, head in heads if head is not None for x in (part, head)]) if any(h is not None for _, h in heads) else None
-    target = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    is_head = F.col("doc_id").isNull()
-    if head_of is not None:
-        is_head = is_head | (F.col("doc_id") == F.element_at(head_of, F.col("part")))
-    cases = F.when(is_head, F.element_at(target, F.col("part")))
-    placed = named.withColumn("part", where).withColumn(
-        "to", F.explode(F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("extra")), F.struct(cases.alias("part"), F.lit(1).alias("extra"))), lambda x: x["part"].isNotNull()))
-    )
+    spark = docs.sparkSession
+    named = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text").withColumn("hash", F.xxhash64("text"))
+    count = partitions or parts_for(docs)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if batch.num_rows:
+                ids, hashes = falling(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+                k = np.lexsort((hashes, ids))[0]
+                key = int(ids[k]), int(hashes[k])
+                best = key if best is None else min(best, key)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.int64()), pa.array([best[1]], pa.int64())], names=["id", "hash"])
+
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
+    keys = named.select("doc_id", "hash").repartitionByRange(count, *order).mapInArrow(firsts, "id long, hash long").collect()
+    if not keys:
+        return spark.createDataFrame([], DIGEST)
+    ranges = Ranges(sorted({(r["id"], r["hash"]) for r in keys}))
+    shared = spark.sparkContext.broadcast(ranges)  # two numbers for each partition
     # the ranges' own numbers would be dealt by chance, several to some tasks
-    labels = even_labels(docs.sparkSession, len(edges) + 2, parts(docs.sparkSession))
-    label = F.element_at(F.lit(labels).cast("array<int>"), F.col("to.part") + 1)
+    labels = even_labels(spark, len(ranges.first), count) or list(range(len(ranges.first)))
+    shared_labels = spark.sparkContext.broadcast(np.array(labels, np.int32))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, labels = shared.value, shared_labels.value
+        sent: set[int] = set()  # rows of the same first key are alike: one follower from each task does
+        for batch in batches:
+            at, head = ranges.of(falling(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False))
+            yield _placed(batch, labels[at], at, False)
+            heads = []
+            for k in np.flatnonzero(head).tolist():
+                if int(at[k]) not in sent:
+                    sent.add(int(at[k]))
+                    heads.append(k)
+            if heads:
+                before = (at[heads] - 1) % len(ranges.first)
+                yield _placed(batch.take(pa.array(heads)), labels[before], before, True)
+
     spread = (
-        placed.select("doc_id", "text", label.alias("part"), "to.extra")
-        .repartition(parts(docs.sparkSession), "part")
-        .sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+        named.mapInArrow(place, "doc_id long, text string, hash long, label int, part int, extra boolean")
+        .repartition(count, "label")
+        .sortWithinPartitions("part", "extra", *order, "text")
+        .select("doc_id", "text", "part", "extra")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +214,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc_id, text, part, extra in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                text = text or ""
                 if part != current:
                     current, closed = part, False
                 if extra:
@@ -190,3 +230,8 @@ def digest(docs: DataFrame) -> DataFrame:
                 size += len(text)
 
     return spread.mapInArrow(run, DIGEST)
+
+
+def _placed(batch: pa.RecordBatch, label: np.ndarray, part: np.ndarray, extra: bool) -> pa.RecordBatch:
+    added = [pa.array(label.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(part), extra))]
+    return pa.RecordBatch.from_arrays([*batch.columns, *added], names=["doc_id", "text", "hash", "label", "part", "extra"])

@@ -7,11 +7,11 @@ whole numpy arrays. Containers are rows of a Parquet table (binary column `data`
 committed writer puts on any file system: a task that runs twice leaves one result. The table's other columns
 (shard, place in the shard, counts) allow seeking without touching the bits.
 
-Documents are range-partitioned by id; shard k holds the k-th range, in order. The offset of a shard is the sum
+Documents are range-partitioned by id (rows of one id by a hash of the text, so that an id of many rows is split); shard k holds the k-th range, in order. The offset of a shard is the sum
 of the shards before it: one row for each shard is summed, never one for each document.
 
 Defined cases: null text is the empty text (its ids are the end id alone); null ids come first, repeated
-ids are ordered by text; an empty table gives an empty result; extra columns are ignored.
+ids are ordered by a hash of the text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import bpe
-from granary.llm.common import parts, scratch_path
+from granary.llm.common import parts_for, scratch_path
 
 MAGIC, BLOCK_IDS = b"GRP1", 4096
 #: Stands for a null id in the files.
@@ -132,9 +132,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                 start += len(ids)
 
     ordered = (
-        docs.selectExpr("cast(doc_id as long) doc_id", "text")
-        .repartitionByRange(parts(docs.sparkSession), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) hash")
+        .repartitionByRange(parts_for(docs), "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .select("doc_id", "text")
     )
     ordered.mapInArrow(run, FILE).write.mode("overwrite").option("compression", "zstd").parquet(path)
 

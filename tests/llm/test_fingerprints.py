@@ -19,8 +19,14 @@ def jaccard(a, b):
 
 
 def brute(rows):
-    """doc_id -> (n_chars, edited text, next text) in descending order of id, nulls last."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    """doc_id -> (n_chars, edited text, next text) in descending order of id, nulls last, rows of one id by hash."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    spark = SparkSession.getActiveSession()
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h"))
+    hashed = {r["t"]: r["h"] for r in texts.collect()}
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
     out = []
     for k, (doc_id, text) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -57,14 +63,25 @@ def test_neighbours(spark, frame, n):
         assert 0 <= row["near_edited"] <= 1 and 0 <= row["near_next"] <= 1
 
 
-def test_odd_rows(spark, frame, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+def test_odd_rows(spark, frame):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (4, None), (None, "none at all"), (3, ""), (2, "a"), (-7, "x y " * 3000), (1, "é" * 9)]
-    check(rows, fingerprints.digest(frame(rows)).collect())
+    for partitions in (1, 3, 20):
+        check(rows, fingerprints.digest(frame(rows), partitions).collect())
     assert fingerprints.digest(frame([])).collect() == []
     assert len(fingerprints.digest(frame([(None, "x"), (None, "y")])).collect()) == 2
 
 
+def test_one_id_is_split(spark, frame):
+    """A null or repeated id with many texts is dealt over several ranges, and the chain through them is whole."""
+    rows = [(None if k % 2 else 7, f"text number {k} of many") for k in range(300)] + [(k, f"own {k}") for k in range(100, 160)]
+    docs = frame(rows).repartition(4)
+    check(rows, fingerprints.digest(docs, 12).collect())
+    ranges = fingerprints.Ranges([(-9, 5), (-9, 50), (-3, 1), (fingerprints._LAST, -4), (fingerprints._LAST, 8)])
+    ids = np.array([-9, -9, -9, -8, -3, -3, fingerprints._LAST, fingerprints._LAST])
+    at, head = ranges.of(ids, np.array([5, 49, 50, 99, 0, 1, 7, 8]))
+    assert at.tolist() == [0, 0, 1, 1, 1, 2, 3, 4] and head.tolist() == [True, False, True, False, False, True, False, True]
+
+
 def test_likeness_is_unbiased(spark):
     r = np.random.default_rng(3)
     a = [f"t{x}" for x in r.integers(0, 10**9, 1200)]
