@@ -8,6 +8,8 @@ handed out keep reading the version they were made from.
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from enum import IntFlag
@@ -342,17 +344,56 @@ class Database:
             raise CryptoError("the table is stored under another key", Code.MISUSE)
         # written once, then checked and counted from what was written
         segment = self._write(rows, target)
-        written = self._frame(target.with_(segments=(segment,)))
-        change.check_not_null(table, written)
-        change.check_unique(table, written, self._frame(table) if table.segments else None)
-        n = written.count()
-        made = target.with_(segments=(*table.segments, segment))
-        if len(made.segments) > MOST_SEGMENTS:
-            made = made.with_(segments=(self._write(self._frame(made), made),))
-        self._put(made)
+        try:
+            written = self._frame(target.with_(segments=(segment,)))
+            change.check_not_null(table, written)
+            change.check_unique(table, written, self._frame(table) if table.segments else None)
+            n = written.count()
+            self._put(self._merged(target.with_(segments=(*table.segments, segment))))
+        except (GranaryError, PySparkException):
+            self.store.remove(segment)
+            raise
         self._txn.now.last_rowid += n
         return self._count(n)
 
+    def _merged(self, table: TableVersion) -> TableVersion:
+        """More than MOST_SEGMENTS segments: the smaller half of them becomes one, so a row is written again only as often as the
+        logarithm of the number of inserts."""
+        if len(table.segments) <= MOST_SEGMENTS:
+            return table
+        by_size = sorted(table.segments, key=self.store.size)
+        small = by_size[: len(by_size) - MOST_SEGMENTS // 2]
+        merged = self._write(self._frame(table.with_(segments=tuple(small))), table)
+        return table.with_(segments=(*(s for s in table.segments if s not in small), merged))
+
+    def _touched(self, table: TableVersion, statement: Update | Delete, args: list) -> tuple[list[str], list[str]]:
+        """(segments or files that the condition may change, those that stay as they are)."""
+        every = list(table.segments)
+        if table.sealed or statement.where is None:
+            return every, []
+        view = f"granary_files_{uuid.uuid4().hex}"
+        self._frame(table).select("*", F.col("_metadata.file_path").alias(change.FILE)).createOrReplaceTempView(view)
+        try:
+            own = args[len(args) - dialect.count_parameters(statement.where) :]
+            hit = change.files(self.spark, table, view, statement.where, own)
+        finally:
+            self.spark.catalog.dropTempView(view)
+        if any(re.search(r"[%\[\]{}*?\\]", f) for f in hit):  # a name that a path doesn't give as it is
+            return every, []
+        plain = lambda path: re.sub(r"^file:/+", "/", path)
+        wanted, touched, stay = {plain(f) for f in hit}, [], []
+        for segment in every:
+            files = self.store.files(segment)
+            found = [f for f in files if plain(f) in wanted]
+            if not found:
+                stay.append(segment)
+            elif len(found) == len(files):
+                touched.append(segment)
+            else:
+                touched += found
+                stay += [f for f in files if plain(f) not in wanted]
+        return touched, stay
+
     def _rewrite(self, table: TableVersion, statement: Update | Delete, args: list) -> int:
         """UPDATE and DELETE: a new segment in place of the old ones, counted while it is written."""
         update = isinstance(statement, Update)
@@ -364,28 +405,49 @@ class Database:
             n = self._frame(table).count()
             self._put(table.with_(segments=()))
             return self._count(n)
+        touched, stay = self._touched(table, statement, args)
+        if not touched:
+            return self._count(0)
         make = change.updated if update else change.marked
-        marked = make(self.spark, table, f"`{table.name.lower()}`", statement, args)
-        seen = Observation()
-        watched = marked.observe(seen, F.count_if(change.HIT).alias("n"))
-        rows = (watched if update else watched.filter(f"NOT {change.HIT}")).drop(change.HIT)
-        target = self._target(table)
-        made = target.with_(segments=(self._write(rows, target),))
+        view = f"granary_rows_{uuid.uuid4().hex}"
+        self._frame(table.with_(segments=tuple(touched))).createOrReplaceTempView(view)
         try:
-            n = seen.get["n"]
-        except Py4JError:  # a condition that folds to a constant leaves nothing to observe
-            n = marked.filter(change.HIT).count()
-        if not n:
-            return self._count(0)
-        if update:
-            named = {table.column(c).name for c, _ in statement.changes}
-            after = self._frame(made)
-            change.check_not_null(table.with_(columns=tuple(c for c in table.columns if c.name in named)), after)
-            if any(set(k) & named for k in table.keys()):
-                change.check_unique(table, after)
-        self._put(made)
+            marked = make(self.spark, table, f"`{view}`", statement, args)
+            seen = Observation()
+            watched = marked.observe(seen, F.count_if(change.HIT).alias("n"))
+            rows = (watched if update else watched.filter(f"NOT {change.HIT}")).drop(change.HIT)
+            target = self._target(table)
+            segment = self._write(rows, target)
+            try:
+                n = seen.get["n"]
+            except Py4JError:  # a condition that folds to a constant leaves nothing to observe
+                n = marked.filter(change.HIT).count()
+        finally:
+            self.spark.catalog.dropTempView(view)
+        try:
+            if n and update:
+                named = {table.column(c).name for c, _ in statement.changes}
+                after = self._frame(target.with_(segments=(segment,)))
+                change.check_not_null(table.with_(columns=tuple(c for c in table.columns if c.name in named)), after)
+                if any(set(k) & named for k in table.keys()):
+                    change.check_unique(table, after, self._frame(table.with_(segments=tuple(stay))) if stay else None)
+            if n:
+                self._put(self._merged(target.with_(segments=(*stay, segment))))
+            else:
+                self.store.remove(segment)
+        except GranaryError:
+            self.store.remove(segment)
+            raise
         return self._count(n)
 
+    def vacuum(self) -> int:
+        """Delete the segments that the current version doesn't name; DataFrames of older versions end with them. Not in a transaction."""
+        with self._guarded():
+            self._writable()
+            if self._txn.active:
+                raise StatementError("not inside a transaction", Code.MISUSE)
+            return self.store.vacuum(self._tables)
+
     # ------------------------------------------------------------ transactions
 
     def _transact(self, statement: Transaction) -> int:

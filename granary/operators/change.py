@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from granary.plans.dialect import bound, count_parameters
 from granary.plans.statements import Delete, Insert, Update
 from granary.sources.store import TableVersion
 
-HIT = "granary_hit"
+HIT, FILE = "granary_hit", "granary_file"
 
 
 def _sql(session, text: str, args: Sequence) -> DataFrame:
@@ -40,12 +43,10 @@ def new_rows(session, table: TableVersion, statement: Insert, args: Sequence) ->
         for row in statement.rows:
             if len(row) != len(names):
                 raise StatementError(f"{len(names)} columns, {len(row)} values", Code.ERROR)
-        # one SELECT for each row keeps values of different types apart until they are cast
         kinds = [table.column(n).type for n in given[: len(names)]]
-        rows = (
-            "SELECT " + ", ".join(f"CAST({v} AS {t}) AS {n}" for v, t, n in zip(row, kinds, names, strict=True)) for row in statement.rows
-        )
-        frame = _sql(session, " UNION ALL ".join(rows), args)
+        frame = _literal_rows(session, statement.rows, names, kinds, list(args))
+        if frame is None:
+            frame = _computed_rows(session, statement.rows, names, kinds, list(args))
     at = {name.lower(): n for name, n in zip(given, names, strict=False)}
     out = []
     for c in table.columns:
@@ -54,6 +55,73 @@ def new_rows(session, table: TableVersion, statement: Insert, args: Sequence) ->
     return frame.select(*out)
 
 
+#: Types that a number and a string are cast to alike, whether they stand in the text or in a table.
+_PLAIN_TYPES = re.compile(r"(big|small|tiny)?int|integer|double|float|string|boolean|decimal\(.*\)|date|timestamp(_ntz)?")
+_NUMBER = re.compile(r"[+-]?(?:\d+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?D)")
+_STRING = re.compile(r"'((?:[^'\\]|\\.)*)'", re.DOTALL)
+
+
+def _literal(text: str, args: Iterator) -> Any:
+    """The value of a literal or parameter in Spark SQL; anything else raises LookupError."""
+    if text == "?":
+        value = next(args)
+        if value is None or type(value) in (int, float, str):
+            return value
+        raise LookupError
+    if _NUMBER.fullmatch(text):
+        return float(text[:-1]) if text.endswith("D") else int(text)
+    if found := _STRING.fullmatch(text):
+        return re.sub(r"\\(.)", r"\1", found[1], flags=re.DOTALL)
+    if text.upper() == "NULL":
+        return None
+    raise LookupError
+
+
+def _literal_rows(session, rows: list[list[str]], names: list[str], kinds: list[str], args: list) -> DataFrame | None:
+    """Rows of literals as one local table, however many; None if some value is no literal. Integers, doubles and strings of a column
+    are kept apart until they are cast."""
+    if not all(_PLAIN_TYPES.fullmatch(k) for k in kinds):
+        return None
+    given = iter(args)
+    try:
+        columns = list(zip(*([_literal(v, given) for v in row] for row in rows), strict=True))
+    except LookupError:
+        return None
+    if any(type(v) is int and not -(1 << 63) <= v < 1 << 63 for column in columns for v in column):
+        return None
+    parts, out = {}, []
+    for name, kind, column in zip(names, kinds, columns, strict=True):
+        held = []
+        for python, arrow in ((int, pa.int64()), (float, pa.float64()), (str, pa.string())):
+            if any(type(v) is python for v in column):
+                held.append(f"{name}_{python.__name__}")
+                parts[held[-1]] = pa.array([v if type(v) is python else None for v in column], arrow)
+        out.append(F.coalesce(*(F.col(h).cast(kind) for h in held)).alias(name) if held else F.lit(None).cast(kind).alias(name))
+    parts["granary_row"] = pa.array(range(len(rows)), pa.int64())
+    frame = session.createDataFrame(pa.table(parts))
+    return frame.coalesce(max(1, len(rows) // 50_000)).select(*out)
+
+
+#: Rows of one UNION: the parser follows it as deep as it is long.
+_UNION = 64
+
+
+def _computed_rows(session, rows: list[list[str]], names: list[str], kinds: list[str], args: list) -> DataFrame:
+    """Rows of expressions: one SELECT for each keeps values of different types apart until they are cast. Unions are balanced."""
+    frames, start = [], 0
+    for at in range(0, len(rows), _UNION):
+        part = rows[at : at + _UNION]
+        n = sum(count_parameters(v) for row in part for v in row)
+        text = " UNION ALL ".join(
+            "SELECT " + ", ".join(f"CAST({v} AS {t}) AS {n}" for v, t, n in zip(row, kinds, names, strict=True)) for row in part
+        )
+        frames.append(_sql(session, text, args[start : start + n]))
+        start += n
+    while len(frames) > 1:
+        frames = [a.union(b) for a, b in zip(frames[::2], frames[1::2], strict=False)] + ([frames[-1]] if len(frames) % 2 else [])
+    return frames[0]
+
+
 def updated(session, table: TableVersion, view: str, statement: Update, args: Sequence) -> DataFrame:
     """All rows after an UPDATE, with HIT: every SET expression sees the old row, and only rows that match are computed."""
     changes = {}
@@ -85,6 +153,12 @@ def marked(session, table: TableVersion, view: str, statement: Delete, args: Seq
     return _sql(session, f"SELECT *, {where} AS {HIT} FROM {view} AS `{table.name}`", args)
 
 
+def files(session, table: TableVersion, view: str, where: str, args: Sequence) -> list[str]:
+    """Names of the files that hold rows which the condition is true for. view: the table's rows with FILE."""
+    frame = _sql(session, f"SELECT DISTINCT {FILE} FROM {view} AS `{table.name}` WHERE {where}", args)
+    return [r[0] for r in frame.collect()]
+
+
 def check_not_null(table: TableVersion, rows: DataFrame) -> None:
     wanted = [c.name for c in table.columns if c.not_null]
     if not wanted:

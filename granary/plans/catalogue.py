@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.api import Database
+from granary.errors import Code, GranaryError
 from granary.functions import search
+from granary.sources.store import Store
 from granary.sources.tables import table
 
 #: name -> (tables, SQL of the dialect, DuckDB SQL or None where the same text serves both).
@@ -210,6 +212,99 @@ def _encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.table("supplier")
 
 
+#: Rows of the bulk insert.
+BULK = 100_000
+
+
+def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement with 100,000 rows of literals."""
+    db = Database(spark)
+    db.execute("CREATE TABLE t (id INTEGER, half REAL, name TEXT)")
+    db.execute("INSERT INTO t VALUES " + ", ".join(f"({k}, {k / 2}, 'row ''{k % 97}')" if k % 10 else f"({k}, NULL, 'ten')" for k in range(BULK)))
+    return db.query("SELECT name, COUNT(*) AS n, SUM(id) AS ids, SUM(half) AS halves FROM t GROUP BY name")
+
+
+def _told(spark: SparkSession, rows: list[tuple[str, str | None]]) -> DataFrame:
+    """What an API told, as rows of step and answer."""
+    return spark.createDataFrame(rows, "step string, answer string")
+
+
+def _change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """changes, total_changes and last_insert_rowid after each statement."""
+    db, out = _database(spark, sf_dir, "region"), []
+    for name, sql in (
+        ("insert", "INSERT INTO region VALUES (7, 'seven'), (8, 'eight')"),
+        ("update", "UPDATE region SET r_name = 'x' WHERE r_regionkey < 3"),
+        ("none", "DELETE FROM region WHERE r_regionkey = 99"),
+        ("delete", "DELETE FROM region"),
+    ):
+        db.execute(sql)
+        out.append((name, f"{db.changes()} {db.total_changes()} {db.last_insert_rowid()}"))
+    return _told(spark, out)
+
+
+def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each refused statement; the table stays as it was."""
+    db, out = Database(spark), []
+    db.exec("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT NOT NULL, mail TEXT UNIQUE); INSERT INTO t VALUES (1, 'a', 'm'), (2, 'b', NULL)")
+    for name, sql in (
+        ("primary key", "INSERT INTO t VALUES (1, 'c', 'n')"),
+        ("not null", "INSERT INTO t VALUES (3, NULL, 'n')"),
+        ("unique", "INSERT INTO t VALUES (3, 'c', 'm')"),
+        ("twice in one", "INSERT INTO t VALUES (3, 'c', 'n'), (3, 'd', 'o')"),
+        ("update", "UPDATE t SET id = 1"),
+        ("null mail", "INSERT INTO t VALUES (3, 'c', NULL)"),
+    ):
+        try:
+            db.execute(sql)
+            out.append((name, "fine"))
+        except GranaryError as error:
+            out.append((name, error.code.name))
+    return _told(spark, [*out, ("rows", str(db.query_single("SELECT COUNT(*) FROM t")[0]))])
+
+
+def _statement_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bind, step, columns by place, reset."""
+    db, out = _database(spark, sf_dir, "nation"), []
+    with db.prepare("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = ? AND n_name >= ? ORDER BY n_nationkey; SELECT 1") as found:
+        for region in (1, 4):
+            found.reset()
+            found.bind_int(1, region).bind_text(2, "A")
+            while found.step() == Code.ROW:
+                out.append((f"region {region}", f"{found.column_int(0)} {found.column_text(1)} {found.column_count()}"))
+        out.append(("tail", found.tail))
+    return _told(spark, out)
+
+
+def _exec_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, out = _database(spark, sf_dir, "region"), []
+
+    def row(n: int, texts: list[str | None], names: list[str]) -> None:
+        out.append((" ".join(names), "|".join(str(t) for t in texts)))
+
+    db.exec("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey; SELECT NULL AS nothing", row)
+    return _told(spark, out)
+
+
+def _reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database in files, written, closed and opened again; what was not committed is gone."""
+    path = f"{Store(spark, None).root}/files"
+    with Database(spark, path) as db:
+        db.exec("CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT); INSERT INTO t VALUES (1, 'a'), (2, 'b'); UPDATE t SET name = 'c' WHERE id = 2")
+        db.exec("BEGIN; DELETE FROM t")
+    return Database(spark, path).table("t")
+
+
+def _rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under one key, then another cipher and key, then in clear."""
+    db = _database(spark, sf_dir, "region")
+    db.key("first")
+    db.rekey("second", "aes-256-cbc")
+    db.execute("UPDATE region SET r_name = 'sealed' WHERE r_regionkey = 0")
+    db.decrypt()
+    return db.table("region")
+
+
 def _vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = _database(spark, sf_dir, "embeddings")
     first = db.query_single("SELECT embedding FROM embeddings WHERE vec_id = 0")
@@ -246,6 +341,33 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _script("nation", "INSERT INTO nation VALUES (100, 'Atlantis', 1), (101, 'Utopia', 1 + 1)"),
         "SELECT * FROM nation UNION ALL SELECT * FROM (VALUES (100, 'Atlantis', 1), (101, 'Utopia', 2))",
     ),
+    "insert_bulk": (
+        _bulk,
+        f"""SELECT name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, sum(half) AS halves FROM (
+              SELECT i AS id, CASE WHEN i % 10 > 0 THEN i / 2 END AS half, CASE WHEN i % 10 > 0 THEN 'row ''' || (i % 97) ELSE 'ten' END AS name
+              FROM range({BULK}) AS t(i)) GROUP BY name""",
+    ),
+    "api_change_counts": (_change_counts, "SELECT * FROM (VALUES ('insert', '2 2 2'), ('update', '3 5 2'), ('none', '0 5 2'), ('delete', '7 12 2')) AS t(step, answer)"),
+    "api_constraints": (
+        _constraints,
+        """SELECT * FROM (VALUES ('primary key', 'CONSTRAINT'), ('not null', 'CONSTRAINT'), ('unique', 'CONSTRAINT'), ('twice in one', 'CONSTRAINT'),
+                                 ('update', 'CONSTRAINT'), ('null mail', 'fine'), ('rows', '3')) AS t(step, answer)""",
+    ),
+    "api_statement": (
+        _statement_api,
+        """SELECT 'region ' || n_regionkey AS step, n_nationkey || ' ' || n_name || ' 2' AS answer FROM nation WHERE n_regionkey IN (1, 4) AND n_name >= 'A'
+           UNION ALL SELECT 'tail', 'SELECT 1'""",
+    ),
+    "api_exec_callback": (
+        _exec_callback,
+        "SELECT 'r_regionkey r_name' AS step, r_regionkey || '|' || r_name AS answer FROM region UNION ALL SELECT 'nothing', 'None'",
+    ),
+    "api_reopen": (_reopened, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a'), (2, 'c')) AS t(id, name)"),
+    "rekey_decrypt": (_rekeyed, "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'sealed' ELSE r_name END AS r_name FROM region"),
+    "divide_by_subscript": (
+        _runner(("orders",), "SELECT o_orderkey, o_totalprice / array(0, 4)[o_orderkey % 2] AS q FROM orders"),
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice / 4 END AS q FROM orders",
+    ),
     "insert_column_list": (
         _script("nation", "INSERT INTO nation (n_name, n_nationkey) VALUES ('Atlantis', -100)"),
         "SELECT * FROM nation UNION ALL SELECT -100, 'Atlantis', NULL",

@@ -195,3 +195,60 @@ def test_many_small_inserts_are_merged(db):
         db.execute("INSERT INTO t VALUES (?)", k)
     assert len(db._version("t").segments) < MOST_SEGMENTS
     assert all_of(db, "t") == [(k,) for k in range(MOST_SEGMENTS + 2)]
+
+
+def test_bulk_insert(db):
+    """A hundred thousand rows of literals in one statement; a few hundred of expressions."""
+    db.execute("CREATE TABLE t (id INTEGER, x REAL, s TEXT)")
+    made = [f"({k}, {k}.5, 'it''s {k}')" for k in range(100_000)]
+    assert db.execute("INSERT INTO t VALUES " + ", ".join(made)) == 100_000
+    assert tuple(db.query_single("SELECT COUNT(*), SUM(id), MAX(x), MIN(s) FROM t")) == (100_000, 4_999_950_000, 99_999.5, "it's 0")
+    db.execute("DELETE FROM t")
+    assert db.execute("INSERT INTO t VALUES " + ", ".join(f"({k} + ?, NULL, upper('a'))" for k in range(300)), *[1] * 300) == 300
+    assert tuple(db.query_single("SELECT SUM(id), COUNT(x), MAX(s) FROM t")) == (sum(range(300)) + 300, 0, "A")
+
+
+def test_insert_of_mixed_literals(db):
+    db.execute("CREATE TABLE t (i INTEGER, r REAL, s TEXT, d TEXT, b BLOB)")
+    db.execute("INSERT INTO t (i, r, s, d) VALUES (1, 2, 3, '2024-02-29'), ('7', -2.5e1, 1.5, NULL), (NULL, '4', 'a\\b''c', ?), (?, ?, ?, NULL)", "2020-01-01", 9, 0.5, "q")
+    found = [tuple(r) for r in db.query("SELECT i, r, s, d FROM t ORDER BY i").collect()]
+    assert found == [(None, 4.0, "a\\b'c", "2020-01-01"), (1, 2.0, "3", "2024-02-29"), (7, -25.0, "1.5", None), (9, 0.5, "q", None)]
+    db.execute("INSERT INTO t (b) VALUES (X'00ff'), (NULL)")
+    assert db.query_single("SELECT COUNT(b) FROM t")[0] == 1
+    with pytest.raises(GranaryError):
+        db.execute("INSERT INTO t (i, r) VALUES (1, 2), (3)")
+
+
+def test_update_writes_the_files_it_hits(db):
+    """Of four segments an UPDATE of one row replaces one; the others stay, also in a table that was attached."""
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT)")
+    for k in range(4):
+        db.execute("INSERT INTO t VALUES " + ", ".join(f"({100 * k + j}, 'old')" for j in range(50)))
+    before = db._tables["t"].segments
+    assert db.execute("UPDATE t SET s = 'new' WHERE id = ?", 205) == 1
+    after = db._tables["t"].segments
+    assert set(before) - set(after) == {before[2]} and len(after) == 4
+    assert db.execute("DELETE FROM t WHERE id IN (SELECT MAX(id) FROM t) OR id = 0") == 2
+    assert set(after) - set(db._tables["t"].segments) == {before[0], before[3]}
+    assert tuple(db.query_single("SELECT COUNT(*), SUM(id), COUNT(NULLIF(s, 'old')) FROM t")) == (198, sum(100 * k + j for k in range(4) for j in range(50)) - 349, 1)
+    now = db._tables["t"].segments
+    assert db.execute("UPDATE t SET s = 'x' WHERE id = 7000") == 0 and db._tables["t"].segments == now
+    with pytest.raises(GranaryError):
+        db.execute("UPDATE t SET id = 101 WHERE id = 205")  # the key is in a file that was not hit
+    assert db._tables["t"].segments == now
+    for wanted in (6, 0):  # the replaced segments, and then no more
+        gone = db.vacuum()
+        assert gone == 0 or wanted
+    assert db.query_single("SELECT COUNT(*) FROM t")[0] == 198
+
+
+def test_update_inside_a_segment(db, tmp_path, spark):
+    """One file of a folder of many is replaced."""
+    path = f"{tmp_path}/many"
+    spark.range(100).selectExpr("id", "id % 7 AS v").repartitionByRange(5, "id").write.parquet(path)
+    db.attach("t", path)
+    assert db.execute("UPDATE t SET v = 70 WHERE id = 42") == 1
+    assert len(db._tables["t"].segments) == 5
+    assert tuple(db.query_single("SELECT COUNT(*), SUM(v) FROM t")) == (100, sum(k % 7 for k in range(100)) + 70 - 42 % 7)
+    db.vacuum()  # attached files are not the database's own
+    assert spark.read.parquet(path).count() == 100

@@ -119,3 +119,43 @@ def test_open_flags(spark):
     with pytest.raises(GranaryError) as caught:
         db.query("SELECT 1")
     assert caught.value.code == Code.MISUSE
+
+
+def test_vacuum(spark, tmp_path):
+    path = f"{tmp_path}/db"
+    with Database(spark, path) as db:
+        db.exec("CREATE TABLE t (id INTEGER PRIMARY KEY); INSERT INTO t VALUES (1), (2); DELETE FROM t WHERE id = 1; CREATE TABLE u (x TEXT); INSERT INTO u VALUES ('a'); DROP TABLE u")
+        folder = tmp_path / "db" / "t"
+        with pytest.raises(DatabaseError):
+            db.execute("INSERT INTO t VALUES (2)")  # leaves nothing behind
+        assert len(list(folder.iterdir())) == 2
+        db.begin()
+        with pytest.raises(GranaryError):
+            db.vacuum()
+        db.rollback()
+        assert db.vacuum() == 2 and len(list(folder.iterdir())) == 1
+    with Database(spark, path) as db:
+        assert rows(db, "SELECT * FROM t") == [(2,)]
+        db.execute("INSERT INTO t VALUES (3)")
+
+
+def test_changed_sealed_values_are_refused(spark):
+    """CBC carries a MAC; one bit of difference is an error, also in the MAC itself."""
+    from pyspark.sql import functions as F
+
+    cipher, key = crypto.get_cipher("aes-256-cbc"), bytes(range(32))
+    frame = spark.createDataFrame([("some text",), (None,), ("",)], "s string").repartition(1)
+    sealed = crypto.seal(frame, cipher, key)
+    raw = [r[0] for r in sealed.collect()]
+    kept = spark.createDataFrame([(x,) for x in raw], "s binary")
+    assert [r[0] for r in crypto.unseal(kept, [("s", "string")], cipher, key).collect()] == ["some text", None, ""]
+    import hashlib
+    import hmac
+
+    mac_key = hmac.digest(key, b"granary mac key", "sha256")
+    assert bytes(raw[0][:32]) == hmac.new(mac_key, bytes(raw[0][32:]), hashlib.sha256).digest()
+    for at in (0, 40, len(raw[0]) - 1):
+        wrong = bytearray(raw[0])
+        wrong[at] ^= 1
+        with pytest.raises(Exception, match="changed"):
+            crypto.unseal(spark.createDataFrame([(wrong,)], "s binary"), [("s", "string")], cipher, key).select(F.length("s")).collect()
