@@ -123,36 +123,40 @@ def _bucket(rows: int) -> Column:
 
 
 def _placed(known: DataFrame, block: int, shards: int, most_repeats: int) -> DataFrame:
-    """of, bucket, base (words of the source before the bucket), source_size, target, words (of the source in the mix)."""
+    """One row for each source: of, source_size, target, passes (how often all of it is taken), rest (words of one more pass), cut (the
+    bucket in which that pass ends) and base (words of the source before that bucket)."""
     per_bucket = known.groupBy("of", "bucket").agg(F.sum("size").alias("bucket_size"), F.max("source").alias("source"))
     totals = per_bucket.groupBy("of").agg(F.sum("bucket_size").alias("source_size"), F.max("source").alias("source"))
     shares = targets(totals.drop("of"), most_repeats)
     seats = allot(shares, block, shards).groupBy("rank").agg(F.sum("quota").alias("blocks"))
+    words = F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * most_repeats)
     plan = (
         shares.join(seats, "rank", "left")
+        .withColumn("words", words)
         .select(
-            "source",
+            _source_key().alias("of"),
             "source_size",
             "target",
-            F.least(F.coalesce("blocks", F.lit(0)) * block, F.col("source_size") * most_repeats).alias("words"),
+            F.expr("CASE WHEN source_size > 0 THEN words div source_size ELSE 0 END").alias("passes"),
+            F.expr("CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END").alias("rest"),
         )
-        .withColumn("of", _source_key())
-        .drop("source")
     )
     base = F.sum("bucket_size").over(Window.partitionBy("of").orderBy("bucket")) - F.col("bucket_size")
-    return (
-        per_bucket.withColumn("base", base).join(plan, "of").select("of", "bucket", "base", "source_size", "target", "words")
-    )
+    ends = per_bucket.withColumn("base", base).join(plan, "of").filter("base <= rest AND rest < base + bucket_size")
+    # a source without a word has no cut: nothing of it is taken
+    return plan.join(ends.select("of", F.col("bucket").alias("cut"), "base"), "of", "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
 
 
-def _taken(known: DataFrame, placed: DataFrame) -> DataFrame:
-    """Adds source_size, target, taken to rows with of, bucket, key, size."""
-    within = Window.partitionBy("of", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = known.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(placed, ["of", "bucket"])
-    passes = F.expr("CASE WHEN source_size > 0 THEN words div source_size ELSE 0 END")
-    rest = F.expr("CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END")
-    part = F.least(F.greatest(rest - F.col("base") - F.col("before"), F.lit(0)), F.col("size"))
-    return laid.withColumn("taken", (passes * F.col("size") + part).cast("long"))
+def _taken(rows: DataFrame, placed: DataFrame, sized: Column | None = None) -> DataFrame:
+    """Adds source_size, target, taken to rows with of, bucket, key, size. Buckets before the cut of a source are taken whole and those
+    after it aren't, in place; only the rows of the cut's bucket are put in order. sized: makes `size` where the rows lack it."""
+    laid = rows.join(placed, "of")
+    with_size = (lambda frame: frame.withColumn("size", sized)) if sized is not None else (lambda frame: frame)
+    sure = with_size(laid.filter("bucket <> cut")).withColumn("part", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
+    within = Window.partitionBy("of").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = with_size(laid.filter("bucket = cut")).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    edge = edge.withColumn("part", F.least(F.greatest(F.col("rest") - F.col("base") - F.col("before"), F.lit(0)), F.col("size"))).drop("before")
+    return sure.union(edge).withColumn("taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long"))
 
 
 def mix(
@@ -161,21 +165,21 @@ def mix(
     """doc_id, size, source_size, target, taken (words of the document in the mix, repeats counted)."""
     known = scratch(sizes(docs, seed), "sizes").withColumn("of", _source_key())
     known = known.withColumn("bucket", _bucket(known.count()))
-    return _taken(known, _placed(known, block, shards, most_repeats)).select("doc_id", "size", "source_size", "target", "taken")
+    placed = scratch(_placed(known, block, shards, most_repeats), "placed", narrow=True)
+    return _taken(known, placed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixture(
     docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED, most_repeats: int = MOST_REPEATS
 ) -> DataFrame:
-    """The rows of the mix, all columns: each document as often as the mix takes it, to the nearest whole number."""
+    """The rows of the mix, all columns: each document as often as the mix takes it, to the nearest whole number. Texts stay where they
+    are, but for those of one bucket of each source."""
     known = scratch(sizes(docs, seed), "sizes").withColumn("of", _source_key())
     bucket = _bucket(known.count())
-    placed = scratch(_placed(known.withColumn("bucket", bucket), block, shards, most_repeats), "placed")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), _source_key().alias("of"), _size().alias("size"), _key(seed).alias("key")
-    ).withColumn("bucket", bucket)
+    placed = scratch(_placed(known.withColumn("bucket", bucket), block, shards, most_repeats), "placed", narrow=True)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _source_key().alias("of"), "text", _key(seed).alias("key")).withColumn("bucket", bucket)
     times = F.expr("CASE WHEN size > 0 THEN cast(round(taken / size) as int) ELSE 0 END")
-    taken = _taken(rows, placed).withColumn("times", times).filter("times > 0")
+    taken = _taken(rows, placed, _size()).withColumn("times", times).filter("times > 0")
     return taken.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
 
 
