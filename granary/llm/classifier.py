@@ -3,7 +3,8 @@
 Tokens are runs of letters, of digits or of other signs; features are hashes of single tokens and of pairs
 in 2^`BITS` buckets, each occurrence worth 1 / sqrt(occurrences in the text). Training visits examples in a seeded
 order and updates per coordinate (FTRL-Proximal with L1 and L2). It takes a bounded sample of the labelled
-rows, `SAMPLE` of them at most, chosen by seeded hash: that is the documented bound. Features of the sample are
+rows, `SAMPLE` ids and `SAMPLE_BYTES` bytes of text at most (one text in any case), chosen by seeded hash: that is the documented
+bound. Of an id with several texts the one of least hash counts. Features of the sample are
 made on the executors; the driver gets index and value arrays of the sample alone, and the model is one array of
 2^BITS weights whatever the corpus. Scoring is a sparse dot product over each whole text, in one pass.
 
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, held_out, mix64, parts, slices, span_hashes, text_buffers
+from granary.llm.common import Words, held_out, mix64, scratch, slices, span_hashes, text_buffers
 
-BITS, SAMPLE, EPOCHS, SEED = 18, 6000, 2, 17
+BITS, SAMPLE, SAMPLE_BYTES, EPOCHS, SEED = 18, 6000, 64 << 20, 2, 17
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 
 _KIND = np.full(256, 3, np.uint8)
@@ -80,7 +81,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most: int = SAMPLE) -> list[tuple[int, float, bytes]]:
+def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, float, bytes]]:
     """(seeded place, label, features) of at most `most` labelled documents outside the held-out fold."""
     labels = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -104,11 +105,17 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, mos
                     (key[i:j] & ((1 << BITS) - 1)).astype("<i4").tobytes() + count[i:j].astype("<i4").tobytes()
                     for i, j in zip(cut[:-1], cut[1:], strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], pa.array(made, pa.binary())], names=["place", "label", "features"])
+                size = pa.array(np.diff(offsets[a : b + 1]))
+                yield pa.RecordBatch.from_arrays([batch.column(1)[a:b], batch.column(2)[a:b], size, pa.array(made, pa.binary())], names=["place", "label", "size", "features"])
 
     # the sample's size is bounded by the parameter, so its ids may be broadcast
-    chosen = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "place", "label")
-    rows = chosen.mapInArrow(run, "place long, label double, features binary").collect()
+    chosen = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(labels), "doc_id")
+    chosen = chosen.groupBy("place", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+    found = scratch(chosen.select("text", "place", "label").mapInArrow(run, "place long, label double, size long, features binary"), "sample")
+    sizes = sorted((r["place"], r["size"]) for r in found.select("place", "size").collect())
+    total = np.cumsum([size for _, size in sizes])
+    kept = max(1, int(np.searchsorted(total, most_bytes, "right"))) if sizes else 0
+    rows = found.filter(F.col("place") <= sizes[kept - 1][0]).collect() if kept else []
     return sorted((r["place"], r["label"], bytes(r["features"])) for r in rows)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from granary.llm import classifier, classlm
-from granary.llm.common import documents, held_out, span_hashes, table
+from granary.llm.common import documents, held_out, mix64, span_hashes, table
 
 DATA = "/root/testdata/sf0.01"
 
@@ -69,6 +69,67 @@ def test_classifier_odd_rows(spark, frame):
     assert not next(r for r in got if r["doc_id"] is None)["held_out"]
 
 
+def test_score_and_training_by_definition(spark, frame):
+    """Features, updates and scores of `digest` in plain Python."""
+    r = random.Random(12)
+    words = ["good", "fine", "Prose,", "it's", "x1", "2024", "é", "##", "bad!", "spam"]
+    rows = [(k, " ".join(r.choices(words[:7] if k % 2 else words[4:], k=r.randrange(1, 30)))) for k in range(60)] + [(100, None), (101, " ")]
+    labels = [(k, int(k % 2)) for k in range(50)] + [(3, 0), (3, 1), (4, None), (100, 1)]
+    bits = classifier.BITS
+
+    def mixed(x, seed):
+        return int(mix64(np.array([x], np.uint64), seed)[0])
+
+    def buckets(text):
+        raw = (text or "").encode()
+        found = [m[0] for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z\x80-\xff0-9\x20\x09-\x0d]+", raw)]
+        hashes = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in found]
+        both = [mixed(h, 1) for h in hashes] + [mixed((mixed(a, 2) + b) % (1 << 64), 3) for a, b in zip(hashes, hashes[1:])]
+        return Counter(x >> (64 - bits) for x in both)
+
+    known = {}
+    for k, y in labels:
+        if y is not None:
+            known.setdefault(k, []).append(y)
+    ids = [k for k in known if k in dict(rows) and crc(k, 3) != 1]
+    place = {x["i"]: x["p"] for x in spark.createDataFrame([(k,) for k in ids], "i long").selectExpr("i", f"xxhash64({classifier.SEED}, i) p").collect()}
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= classifier.L1:
+            return 0.0
+        return -(z[i] - math.copysign(classifier.L1, z[i])) / ((classifier.BETA + math.sqrt(n[i])) / classifier.ALPHA + classifier.L2)
+
+    for _ in range(classifier.EPOCHS):
+        for k in sorted(ids, key=lambda k: place[k]):
+            found = buckets(dict(rows)[k])
+            x = {i: c / math.sqrt(max(1, sum(found.values()))) for i, c in found.items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i, v in x.items():
+                g = (p - (sum(known[k]) / len(known[k]) >= 0.5)) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / classifier.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = {x["doc_id"]: x for x in classifier.digest(frame(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    for k, text in rows:
+        found = buckets(text)
+        total = sum(weight(i) * c for i, c in found.items()) / math.sqrt(max(1, sum(found.values()))) + weight("bias")
+        score = 1 / (1 + math.exp(-total))
+        assert got[k]["score"] == pytest.approx(score, abs=1e-5)
+        assert got[k]["held_out"] == (crc(k, 3) == 1) and got[k]["predicted"] == int(got[k]["score"] >= 0.5)
+
+
+def test_sample_is_bounded(spark, frame):
+    """One text of each id, however often it stands, and no more bytes than said."""
+    rows = [(0, f"one of many {k}") for k in range(50)] + [(k, "some text of thirty characters") for k in range(1, 40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    assert len(classifier.sample(frame(rows), labels, 3, 5, most=10)) == 10
+    assert len(classifier.sample(frame(rows), labels, 3, 5)) == 40
+    assert len(classifier.sample(frame(rows), labels, 3, 5, most_bytes=200)) in (6, 7)
+    assert len(classifier.sample(frame(rows), labels, 3, 5, most_bytes=1)) == 1
+
+
 # ---------------------------------------------------------------- language model
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
