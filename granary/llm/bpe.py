@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -39,6 +40,7 @@ CACHE, ENTRY = 300_000, 200
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ]*")
 #: Fixed value: the pattern of a pre-tokenizer that drops white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT = regex.compile(PATTERN)
 #: The normalizer and pre-tokenizer of vocabularies whose texts may be handled word by word.
 WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -262,12 +264,17 @@ class Encoder:
         # words of plain texts (lower case), words of other texts (UTF-8, as they stand), pieces (letters of their bytes)
         self.words, self.raw, self.pieces = _Cache(most), _Cache(most), _Cache(most)
 
-    def _pieces(self, text: str) -> bytes:
-        """Through the file's own normalizer and pre-tokenizer."""
-        if self.library.normalizer is not None:
-            text = self.library.normalizer.normalize_str(text)
+    def _pieces(self, text: str, plain: bool = False) -> bytes:
+        """Through the file's own normalizer and pre-tokenizer. plain: a lower-case word of plain characters, which the first leaves as
+        it is and the second splits by PATTERN."""
         cache = self.pieces
-        found = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        if plain:
+            letters = self.vocabulary.letters
+            found = [p if p.isascii() else "".join([letters[x] for x in p.encode()]) for p in _SPLIT.findall(text)]
+        else:
+            if self.library.normalizer is not None:
+                text = self.library.normalizer.normalize_str(text)
+            found = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         coded = b"".join([cache[p] for p in found])
         if cache.todo:
             for p in cache.todo:
@@ -282,7 +289,11 @@ class Encoder:
         coded = b"".join(map(get, words))
         if cache.todo:
             for w in cache.todo:
-                cache.put(w, self._pieces(w if isinstance(w, str) else w.decode()))
+                if isinstance(w, str):
+                    cache.put(w, self._pieces(w, True))
+                else:
+                    word = w.decode()
+                    cache.put(w, self._pieces(word.lower(), True) if _PLAIN.fullmatch(word) else self._pieces(word))
             cache.todo.clear()
             coded = b"".join(map(get, words))
         return coded
