@@ -147,16 +147,17 @@ def _placed(known: DataFrame, block: int, shards: int, most_repeats: int) -> Dat
     return plan.join(ends.select("of", F.col("bucket").alias("cut"), "base"), "of", "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
 
 
-def _taken(rows: DataFrame, placed: DataFrame, sized: Column | None = None) -> DataFrame:
-    """Adds source_size, target, taken to rows with of, bucket, key, size. Buckets before the cut of a source are taken whole and those
-    after it aren't, in place; only the rows of the cut's bucket are put in order. sized: makes `size` where the rows lack it."""
-    laid = rows.join(placed, "of")
-    with_size = (lambda frame: frame.withColumn("size", sized)) if sized is not None else (lambda frame: frame)
-    sure = with_size(laid.filter("bucket <> cut")).withColumn("part", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
+def _whole(laid: DataFrame) -> DataFrame:
+    """The rows beside their source's cut, and `times`: how often each is taken, always as a whole; nothing is put in order for that."""
+    return laid.filter("bucket <> cut").withColumn("times", F.col("passes") + (F.col("bucket") < F.col("cut")).cast("long"))
+
+
+def _at_cut(sized: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold their source's cut, in order, and `taken`: the words that the mix takes."""
     within = Window.partitionBy("of").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = with_size(laid.filter("bucket = cut")).withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    edge = edge.withColumn("part", F.least(F.greatest(F.col("rest") - F.col("base") - F.col("before"), F.lit(0)), F.col("size"))).drop("before")
-    return sure.union(edge).withColumn("taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long"))
+    left = F.col("rest") - F.col("base") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    part = F.least(F.greatest(left, F.lit(0)), F.col("size"))
+    return sized.withColumn("part", part).withColumn("taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long"))
 
 
 def mix(
@@ -166,7 +167,9 @@ def mix(
     known = scratch(sizes(docs, seed), "sizes").withColumn("of", _source_key())
     known = known.withColumn("bucket", _bucket(known.count()))
     placed = scratch(_placed(known, block, shards, most_repeats), "placed", narrow=True)
-    return _taken(known, placed).select("doc_id", "size", "source_size", "target", "taken")
+    laid = known.join(placed, "of")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    return _whole(laid).withColumn("taken", F.col("times") * F.col("size")).select(columns).union(_at_cut(laid.filter("bucket = cut")).select(columns))
 
 
 def mixture(
@@ -178,9 +181,10 @@ def mixture(
     bucket = _bucket(known.count())
     placed = scratch(_placed(known.withColumn("bucket", bucket), block, shards, most_repeats), "placed", narrow=True)
     rows = docs.select(F.struct(*docs.columns).alias("row"), _source_key().alias("of"), "text", _key(seed).alias("key")).withColumn("bucket", bucket)
-    times = F.expr("CASE WHEN size > 0 THEN cast(round(taken / size) as int) ELSE 0 END")
-    taken = _taken(rows, placed, _size()).withColumn("times", times).filter("times > 0")
-    return taken.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
+    laid = rows.join(placed, "of").filter(F.col("text").rlike(WORD))  # a text without a word adds nothing, so it is never taken
+    edge = _at_cut(laid.filter("bucket = cut").withColumn("size", _size())).withColumn("times", F.round(F.col("taken") / F.col("size")))
+    taken = _whole(laid).select("row", "times").union(edge.select("row", "times")).filter("times > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")
 
 
 #: DuckDB SQL for `mix` over `documents` with the default parameters.
