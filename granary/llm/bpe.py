@@ -21,13 +21,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -35,12 +35,21 @@ from granary.llm.common import SLICE_BYTES, slices, text_buffers
 
 #: Entries that each generation of a Python worker's caches of words and of pieces keeps, at ENTRY bytes on average. A
 #: worker that serves other operators too does with fewer (`cache` of `encode`).
-CACHE, ENTRY = 300_000, 200
+CACHE, ENTRY = 600_000, 200
 #: Texts of these characters alone are lowered and split here; all are composed (NFC) and lower to one character.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ]*")
 #: Fixed value: the pattern of a pre-tokenizer that drops white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_SPLIT = regex.compile(PATTERN)
+
+
+def _plain_split() -> re.Pattern[str]:
+    """PATTERN for lowered plain texts: its classes are spelled out, which the standard library matches several times faster."""
+    plain = [c for c in map(chr, range(0x180)) if _PLAIN.fullmatch(c)]
+    letters, numbers = ("".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return re.compile(PATTERN.replace(r"\s\p{L}\p{N}", r"\s" + letters + numbers).replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
+
+
+_PLAIN_SPLIT = _plain_split()
 #: The normalizer and pre-tokenizer of vocabularies whose texts may be handled word by word.
 WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -217,28 +226,21 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class _Cache(dict):
-    """Two generations of entries: a full cache becomes the old one, from which what is still used comes back.
+    """What `make` gives for a key, in two generations of entries: a full cache becomes the old one, from which what is still used
+    comes back."""
 
-    A key that neither holds gives b"" and is noted in `todo`.
-    """
-
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int, make: Callable[[str | bytes], bytes]) -> None:
         super().__init__()
-        self.most, self.size = most * ENTRY, 0
+        self.most, self.size, self.make = most * ENTRY, 0, make
         self.old: dict = {}
-        self.todo: dict = {}
 
     def __missing__(self, key: str | bytes) -> bytes:
         value = self.old.get(key)
         if value is None:
-            self.todo[key] = None
-            return b""
-        self.put(key, value)
-        return value
-
-    def put(self, key: str | bytes, value: bytes) -> None:
+            value = self.make(key)
         self[key] = value
         self.size += len(key) + len(value) + 150
+        return value
 
     def turn(self) -> None:
         if self.size > self.most:
@@ -261,51 +263,41 @@ class Encoder:
         self.library.no_padding()
         self.vocabulary = vocabulary(path)
         most = cache or CACHE
-        # words of plain texts (lower case), words of other texts (UTF-8, as they stand), pieces (letters of their bytes)
-        self.words, self.raw, self.pieces = _Cache(most), _Cache(most), _Cache(most)
-
-    def _pieces(self, text: str, plain: bool = False) -> bytes:
-        """Through the file's own normalizer and pre-tokenizer. plain: a lower-case word of plain characters, which the first leaves as
-        it is and the second splits by PATTERN."""
-        cache = self.pieces
-        if plain:
-            letters = self.vocabulary.letters
-            found = [p if p.isascii() else "".join([letters[x] for x in p.encode()]) for p in _SPLIT.findall(text)]
-        else:
-            if self.library.normalizer is not None:
-                text = self.library.normalizer.normalize_str(text)
-            found = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        coded = b"".join([cache[p] for p in found])
-        if cache.todo:
-            for p in cache.todo:
-                ids = self.vocabulary.encode_letters(p) if self.backtrack else [t.id for t in self.library.model.tokenize(p)]
-                cache.put(p, array("I", ids).tobytes())
-            cache.todo.clear()
-            coded = b"".join([cache[p] for p in found])
-        return coded
+        # pieces of plain texts (lower case), words of other texts (UTF-8, as they stand), pieces (letters of their bytes)
+        self.words, self.raw, self.pieces = _Cache(most, self._word), _Cache(most, self._any_word), _Cache(most, self._coded)
 
-    def _cached(self, cache: _Cache, words: list) -> bytes:
-        get = cache.__getitem__
-        coded = b"".join(map(get, words))
-        if cache.todo:
-            for w in cache.todo:
-                if isinstance(w, str):
-                    cache.put(w, self._pieces(w, True))
-                else:
-                    word = w.decode()
-                    cache.put(w, self._pieces(word.lower(), True) if _PLAIN.fullmatch(word) else self._pieces(word))
-            cache.todo.clear()
-            coded = b"".join(map(get, words))
-        return coded
+    def _coded(self, letters: str) -> bytes:
+        """Ids of a piece, given as the letters of its bytes."""
+        ids = self.vocabulary.encode_letters(letters) if self.backtrack else [t.id for t in self.library.model.tokenize(letters)]
+        return array("I", ids).tobytes()
+
+    def _word(self, piece: str) -> bytes:
+        """Of a plain text."""
+        letters = self.vocabulary.letters
+        return self._coded(piece if piece.isascii() else "".join([letters[x] for x in piece.encode()]))
+
+    def _any_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        return self._plain(text) if _PLAIN.fullmatch(text) else self._pieces(text)
+
+    def _plain(self, text: str) -> bytes:
+        """A text of plain characters: the normalizer only lowers it, the pre-tokenizer splits it by PATTERN."""
+        return b"".join(map(self.words.__getitem__, _PLAIN_SPLIT.findall(text.lower())))
+
+    def _pieces(self, text: str) -> bytes:
+        """Through the file's own normalizer and pre-tokenizer."""
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return b"".join([self.pieces[p] for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
 
     def _part(self, text: str) -> bytes:
         """A text without special tokens."""
         if not self.vocabulary.by_words:
             coded = self._pieces(text)
         elif _PLAIN.fullmatch(text):
-            coded = self._cached(self.words, text.lower().split())
-        else:  # bytes are split at ASCII white space alone; what else counts as white space is up to the normalizer
-            coded = self._cached(self.raw, text.encode().split())
+            coded = self._plain(text)
+        else:  # word by word: bytes are split at ASCII white space alone; what else counts as white space is up to the normalizer
+            coded = b"".join(map(self.raw.__getitem__, text.encode().split()))
         for cache in (self.words, self.raw, self.pieces):
             cache.turn()
         return coded
