@@ -37,7 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     # the workers have served the stages before: a small cache leaves them room
-    return bpe.encode(docs, columns=("doc_id", "lang", "source"), cache=60_000)
+    return bpe.encode(docs, columns=("doc_id", "lang", "source"), cache=120_000)
 
 
 #: (name, stage); a stage takes (spark, docs, sf_dir).
