@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, mix64, scratch, shingles, slices, text_buffers
+from granary.llm.common import Words, drop_scratch, mix64, scratch, shingles, slices, text_buffers
 from granary.llm.components import components
 
 WIDTH, LEAST, BANDS, ROWS, DOUBT = 5, 0.8, 40, 8, 0.70
@@ -45,7 +45,8 @@ BLOCK, HASH_BYTES = 256, 6
 #: The filter that picks the texts to verify has FILTER_EACH bits for each of them; where that is more than FILTER_MOST (16 MB),
 #: the texts are shuffled to a join in its place.
 FILTER_EACH, FILTER_MOST = 16, 1 << 27
-#: Rows that go, up to which `deduplicate` broadcasts their names (16 bytes each); beyond it the rows are shuffled to a join.
+#: Rows that go (copies, and for `deduplicate` all but one of a class), up to which their names are broadcast (16 bytes each); beyond
+#: it the rows are shuffled to a join.
 BROADCAST_ROWS = 1 << 21
 
 
@@ -343,7 +344,19 @@ def _search(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _named_rows(docs: DataFrame) -> DataFrame:
+def _distinct_rows(rows: DataFrame, gone: DataFrame, again: DataFrame, most: int) -> DataFrame:
+    """The rows but those named in `gone`; of the rows that share a name of `again` one stays.
+
+    Rows stay where they are as long as there are no more than `most` names; beyond that they are shuffled to a join."""
+    special = scratch(gone.union(again), "gone", narrow=True)
+    hint = F.broadcast if special.count() <= most else (lambda frame: frame)
+    kept = rows.join(hint(special), "row", "left_anti")
+    if again.count():
+        kept = kept.union(rows.join(hint(again), "row", "left_semi").dropDuplicates(["row"]))
+    return kept
+
+
+def _named_rows(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """row, doc_id, root (node that stands for the class; null without a word), class_id: one row for each row of `docs`."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").select(row_name(), "doc_id", "text")
     sketched = scratch(sketches(rows), "sketches")
@@ -358,23 +371,29 @@ def _named_rows(docs: DataFrame) -> DataFrame:
     members = scratch(
         worded.select("row", "doc_id", *same)
         .join(copies, same, "left")
-        .select("row", "doc_id", F.coalesce("node", "row").alias("node"), F.coalesce("first", "doc_id").alias("first")),
+        .select("row", "doc_id", F.coalesce("node", "row").alias("node"), F.coalesce("first", "doc_id").alias("first"), F.col("node").isNotNull().alias("copied")),
         "members",
     )
-    wide = ["node", "first", "keys", "registers"]
-    single = worded.join(copies, same, "left_anti").withColumn("node", F.col("row")).withColumn("first", F.col("doc_id")).select(wide)
-    several = worded.join(copies.withColumn("row", F.col("node")), [*same, "row"]).select(wide).dropDuplicates(["node"])
-    nodes = scratch(single.union(several), "nodes")
-
-    # buckets of two or more, and the hub of each: the member that meets the most. One exchange serves the count and the join.
+    alone = scratch(sketched.filter("keys IS NULL").select("row", "doc_id"), "alone", narrow=True)
+    # sketches are wide: those of rows that stand for a node stay where they are, names alone tell which these are
+    again = members.filter("copied AND row = node").groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
+    again = scratch(again, "again", narrow=True)
+    gone = members.filter("row <> node").select("row").distinct()
+    nodes = _distinct_rows(worded.select("row", "keys", "registers"), gone, again, most).withColumnRenamed("row", "node")
+    nodes = scratch(nodes, "nodes")
+    drop_scratch(sketched, copies)
+
+    # buckets of two or more, and the hub of each: the member that meets the most. One exchange serves the count and the join
+    # (the count takes the node, or its exchange would carry other columns and be one of its own).
     keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    full = keyed.groupBy("key").agg(F.count("node").alias("n")).filter("n > 1")
     met = scratch(keyed.join(full, "key").select("key", "node", "n"), "met")
     degree = scratch(met.groupBy("node").agg(F.sum("n").alias("degree")), "degree", narrow=True)
     ranked = met.join(degree, "node").select("key", "node", "degree")
     hubs = scratch(ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs", narrow=True)
     pairs = met.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     registers = scratch(nodes.select("node", "keys", "registers").join(degree.select("node"), "node", "left_semi"), "registers")
+    drop_scratch(nodes)  # what meets no other one is a class by itself
     likely = scratch(_agreeing(pairs, registers), "likely")
 
     def shingled(wanted: DataFrame, name: str) -> DataFrame:
@@ -416,14 +435,14 @@ def _named_rows(docs: DataFrame) -> DataFrame:
     linked = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
         merged.join(roots, merged["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
     )
-    linked = scratch(linked.join(nodes.select("node", "first"), "node"), "linked", narrow=True)
+    linked = linked.join(members.groupBy("node").agg(F.min("first").alias("first")), "node")
+    linked = scratch(linked, "linked", narrow=True)
     least = linked.groupBy("root").agg(F.min("first").alias("class_id"))
     final = scratch(linked.join(least, "root").select("node", "root", "class_id"), "roots", narrow=True)
     named = members.join(final, "node", "left").select(
         "row", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "first").alias("class_id")
     )
-    alone = sketched.filter("keys IS NULL").select("row", "doc_id", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"))
-    return named.union(alone)
+    return named.union(alone.select("row", "doc_id", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -437,17 +456,11 @@ def deduplicate(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
     Texts stay where they are as long as there are no more than `most` names of rows that go.
     """
-    named = scratch(_named_rows(docs).filter("root IS NOT NULL").select("row", "doc_id", "root"), "classes")
+    named = scratch(_named_rows(docs, most).filter("root IS NOT NULL").select("row", "doc_id", "root"), "classes")
     names = named.groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     keepers = scratch(named.groupBy("root").agg(F.min(first)["row"].alias("row")), "keepers", narrow=True)
     again = scratch(names.filter("n > 1").select("row").join(keepers, "row", "left_semi"), "again", narrow=True)
     gone = names.select("row").join(keepers.select("row"), "row", "left_anti")
-    special = scratch(gone.union(again), "gone", narrow=True)
-    few = special.count() <= most
-    hint = F.broadcast if few else (lambda frame: frame)
     rows = docs.select(row_name(), F.struct(*docs.columns).alias("whole"))
-    kept = rows.join(hint(special), "row", "left_anti").select("whole")
-    if again.count():  # of rows alike in id and text one stays
-        kept = kept.union(rows.join(hint(again), "row", "left_semi").dropDuplicates(["row"]).select("whole"))
-    return kept.select("whole.*")
+    return _distinct_rows(rows, gone, again, most).select("whole.*")

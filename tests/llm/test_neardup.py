@@ -196,6 +196,37 @@ def test_full_search_of_a_bucket():
     assert neardup._search(table.set_column(3, "key", pa.array([78] * 9, pa.int64()))).num_rows == 0  # found in an earlier bucket
 
 
+def test_wide_rows_stay(spark, frame, monkeypatch):
+    """Sketches of unlike texts are not shuffled, bucket keys once, and neither table outlasts its use, whatever the join threshold."""
+    text = [" ".join(f"t{g}w{k}" for k in range(40)) for g in range(30)]
+    rows = [(k, text[k % 25]) for k in range(60)] + [(k, text[25] + " more" * (k % 2)) for k in (70, 70, 70, 71)] + [(80, ""), (80, ""), (None, text[3])]
+    docs = frame(rows).repartition(3)
+    plans, write, kept = {}, neardup.scratch, {}
+
+    def watched(df, name, narrow=False):
+        if name in ("nodes", "met"):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        kept[name] = write(df, name, narrow)
+        return kept[name]
+
+    monkeypatch.setattr(neardup, "scratch", watched)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [sorted(((r["doc_id"], r["class_id"]) for r in neardup._named_rows(docs, most).collect()), key=str) for most in (0, neardup.BROADCAST_ROWS)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    wanted = [(k, k % 25) for k in range(60)] + [(70, 70)] * 3 + [(71, 70), (80, 80), (80, 80), (None, 3)]
+    assert found[0] == found[1] == sorted(wanted, key=str)
+    shuffles = {name: sum("- Exchange hashpartitioning(" in line for line in plan.splitlines()) for name, plan in plans.items()}
+    assert shuffles == {"nodes": 1, "met": 1}, plans  # nodes: the one that takes one row of those alike in id and text
+    assert "Exchange hashpartitioning(row" in plans["nodes"] and "LeftAnti, BuildRight" in plans["nodes"]
+    for name in ("sketches", "nodes"):
+        with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|NOT_EXIST"):
+            spark.read.parquet(kept[name]._scratch_path)
+
+
 def test_documents(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
