@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Words, drop_scratch, mix64, scratch, shingles, slices, text_buffers
+from granary.llm.common import Words, drop_scratch, mix64, parts, scratch, shingles, slices, text_buffers
 from granary.llm.components import components
 
 WIDTH, LEAST, BANDS, ROWS, DOUBT = 5, 0.8, 40, 8, 0.70
@@ -373,6 +373,7 @@ def _named_rows(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
         .join(copies, same, "left")
         .select("row", "doc_id", F.coalesce("node", "row").alias("node"), F.coalesce("first", "doc_id").alias("first"), F.col("node").isNotNull().alias("copied")),
         "members",
+        narrow=True,
     )
     alone = scratch(sketched.filter("keys IS NULL").select("row", "doc_id"), "alone", narrow=True)
     # sketches are wide: those of rows that stand for a node stay where they are, names alone tell which these are
@@ -387,7 +388,8 @@ def _named_rows(docs: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     # (the count takes the node, or its exchange would carry other columns and be one of its own).
     keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
     full = keyed.groupBy("key").agg(F.count("node").alias("n")).filter("n > 1")
-    met = scratch(keyed.join(full, "key").select("key", "node", "n"), "met")
+    # few of the keys are shared, so few files hold what all partitions of the join leave
+    met = scratch(keyed.join(full, "key").select("key", "node", "n").repartition(max(1, parts(docs.sparkSession) // 4)), "met")
     degree = scratch(met.groupBy("node").agg(F.sum("n").alias("degree")), "degree", narrow=True)
     ranked = met.join(degree, "node").select("key", "node", "degree")
     hubs = scratch(ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs", narrow=True)
